@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from glyphloom.llm import formatdup
+from glyphloom.llm import formatdup, runs
 from glyphloom.llm.sql import SQL  # noqa: F401
 from glyphloom.session import read_table
 
@@ -22,7 +22,48 @@ def p1_records(spark, d):
     return formatdup.count_copies(_records(spark, d)).select("first_id", "copies")
 
 
+# ---------------------------------------------------------------- problem 2
+def _key():
+    return F.regexp_replace(F.lower("key"), r"[^\p{L}]", "")
+
+
+def _has():
+    return F.col("ch").isNotNull() | F.col("key").isNotNull()
+
+
+def _strict_runs(spark, d):
+    strict = 3.0  # above twice the penalty: runs are uniform in it
+    features = {"kind": (F.col("kind"), strict), "ch": (F.lower("ch"), strict), "key": (_key(), strict)}
+    return runs.collapse_runs(read_table(spark, d, "key_events"), "window_id", "seq", "ts", "event_id", features, _has(), 1000, 1.0, 2)
+
+
+def p2_found(spark, d):
+    return _strict_runs(spark, d).select("window_id", F.col("first_order").alias("first_seq"), F.col("last_order").alias("last_seq"))
+
+
+def p2_runs(spark, d):
+    return _strict_runs(spark, d).select("window_id", F.col("first_order").alias("first_seq"), F.col("count").alias("events"), F.col("duration_ms").cast("long").alias("duration_ms"))
+
+
+def p2_near_runs(spark, d):
+    """Near-identical events: letter case and modifiers may differ now and then."""
+    strict = 3.0
+    features = {
+        "kind": (F.col("kind"), strict),
+        "key": (_key(), strict),
+        "letter": (F.lower("ch"), strict),
+        "case": (F.col("ch"), 0.6),
+        "shift": (F.col("modifiers.shift"), 0.4),
+        "caps": (F.col("modifiers.caps_lock"), 0.4),
+    }
+    out = runs.collapse_runs(read_table(spark, d, "key_events"), "window_id", "seq", "ts", "event_id", features, _has(), 2000, 1.0, 2)
+    return out.select("window_id", F.col("first_order").alias("first_seq"), F.col("last_order").alias("last_seq"), F.col("count").alias("events"), F.col("duration_ms").cast("long").alias("duration_ms"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_records": p1_records,
+    "p2_found": p2_found,
+    "p2_runs": p2_runs,
+    "p2_near_runs": p2_near_runs,
 }

@@ -15,7 +15,20 @@ WITH j AS (SELECT raw_id, lang, payload, try_cast(CASE WHEN json_valid(payload)
      g AS (SELECT *, min(raw_id) OVER (PARTITION BY l, w, n) AS first_id, count(*) OVER (PARTITION BY l, w, n) AS copies FROM c WHERE w <> '')
 """
 
+_P2 = r"""
+WITH e AS (SELECT window_id, seq, ts, kind, lower(ch) AS ch, regexp_replace(lower(key), '[^\p{L}]', '', 'g') AS key FROM key_events
+           WHERE window_id IS NOT NULL AND seq IS NOT NULL QUALIFY row_number() OVER (PARTITION BY window_id, seq ORDER BY event_id) = 1),
+     l AS (SELECT *, CASE WHEN kind IS NOT DISTINCT FROM lag(kind) OVER w AND ch IS NOT DISTINCT FROM lag(ch) OVER w AND key IS NOT DISTINCT FROM lag(key) OVER w
+                           AND (ch IS NOT NULL OR key IS NOT NULL) AND epoch_us(ts) - epoch_us(lag(ts) OVER w) <= 1000000 THEN 0 ELSE 1 END AS cut
+           FROM e WINDOW w AS (PARTITION BY window_id ORDER BY seq)),
+     r AS (SELECT *, sum(cut) OVER (PARTITION BY window_id ORDER BY seq) AS run FROM l),
+     g AS (SELECT window_id, min(seq) AS first_seq, max(seq) AS last_seq, count(*) AS events, (epoch_us(max(ts)) - epoch_us(min(ts))) // 1000 AS duration_ms
+           FROM r GROUP BY window_id, run HAVING count(*) > 1)
+"""
+
 SQL = {
     "p1_found": _P1 + "SELECT first_id, raw_id AS copy_id FROM g WHERE raw_id <> first_id",
+    "p2_found": _P2 + "SELECT window_id, first_seq, last_seq FROM g",
+    "p2_runs": _P2 + "SELECT window_id, first_seq, events, duration_ms FROM g",
     "p1_records": _P1 + "SELECT first_id, max(copies) AS copies FROM g GROUP BY first_id",
 }
