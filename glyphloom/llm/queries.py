@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from glyphloom.llm import formatdup, runs
+from glyphloom.llm import formatdup, runs, topn
 from glyphloom.llm.sql import SQL  # noqa: F401
 from glyphloom.session import read_table
 
@@ -60,10 +60,31 @@ def p2_near_runs(spark, d):
     return out.select("window_id", F.col("first_order").alias("first_seq"), F.col("last_order").alias("last_seq"), F.col("count").alias("events"), F.col("duration_ms").cast("long").alias("duration_ms"))
 
 
+# ---------------------------------------------------------------- problem 4
+_LEAST = (1 << 63) - 1  # stands for a null frequency: after every other
+
+
+def _top_candidates(spark, d):
+    score = [F.col("distance").cast("long"), F.coalesce(-F.col("frequency"), F.lit(_LEAST))]
+    coarse = F.col("s0") * 66 + topn.log2_bin(F.when(F.col("s1") != _LEAST, -F.col("s1")))
+    return topn.top_n(read_table(spark, d, "candidate"), "original", "word", score, coarse, 3)
+
+
+def p4_found(spark, d):
+    return _top_candidates(spark, d).select("original", "word")
+
+
+def p4_top3(spark, d):
+    frequency = F.when(F.col("s1") != _LEAST, -F.col("s1"))
+    return _top_candidates(spark, d).select("original", "word", "rank", F.col("s0").alias("distance"), frequency.alias("frequency"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_records": p1_records,
     "p2_found": p2_found,
     "p2_runs": p2_runs,
     "p2_near_runs": p2_near_runs,
+    "p4_found": p4_found,
+    "p4_top3": p4_top3,
 }

@@ -26,9 +26,17 @@ WITH e AS (SELECT window_id, seq, ts, kind, lower(ch) AS ch, regexp_replace(lowe
            FROM r GROUP BY window_id, run HAVING count(*) > 1)
 """
 
+_P4 = """
+WITH b AS (SELECT original, word, distance, frequency FROM candidate WHERE original IS NOT NULL AND word IS NOT NULL AND distance IS NOT NULL
+           QUALIFY row_number() OVER (PARTITION BY original, word ORDER BY distance, frequency DESC NULLS LAST) = 1),
+     t AS (SELECT *, row_number() OVER (PARTITION BY original ORDER BY distance, frequency DESC NULLS LAST, word) AS rank FROM b)
+"""
+
 SQL = {
     "p1_found": _P1 + "SELECT first_id, raw_id AS copy_id FROM g WHERE raw_id <> first_id",
     "p2_found": _P2 + "SELECT window_id, first_seq, last_seq FROM g",
     "p2_runs": _P2 + "SELECT window_id, first_seq, events, duration_ms FROM g",
+    "p4_found": _P4 + "SELECT original, word FROM t WHERE rank <= 3",
+    "p4_top3": _P4 + "SELECT original, word, rank, distance::BIGINT AS distance, frequency FROM t WHERE rank <= 3",
     "p1_records": _P1 + "SELECT first_id, max(copies) AS copies FROM g GROUP BY first_id",
 }
