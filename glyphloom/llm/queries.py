@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from glyphloom.llm import formatdup, runs, topn
+from glyphloom.llm import formatdup, lookalike, runs, topn
 from glyphloom.llm.sql import SQL  # noqa: F401
 from glyphloom.session import read_table
 
@@ -79,6 +79,34 @@ def p4_top3(spark, d):
     return _top_candidates(spark, d).select("original", "word", "rank", F.col("s0").alias("distance"), frequency.alias("frequency"))
 
 
+# ---------------------------------------------------------------- problem 5
+def _texts(spark, d):
+    """Every text of the problem: tab, lang, id and up to two texts."""
+    words = read_table(spark, d, "dictionary").select(F.lit("dictionary").alias("tab"), "lang", F.col("entry_id").alias("id"), F.col("word").alias("x"), F.lit(None).cast("string").alias("y"))
+    errors = read_table(spark, d, "errors").where("lang in ('es', 'pt')")
+    return words.unionByName(errors.select(F.lit("errors").alias("tab"), "lang", F.col("error_id").alias("id"), F.col("typo").alias("x"), F.col("correction").alias("y")))
+
+
+def _forms(spark, d):
+    t = _texts(spark, d)
+    counts = lookalike.character_counts(t.select(F.concat_ws(" ", "x", "y").alias("text")), "text")
+    form = lookalike.unifier(counts)
+    return t.withColumn("fx", form("x")).withColumn("fy", form("y"))
+
+
+def p5_found(spark, d):
+    f = _forms(spark, d).where("fx <> '' and (tab = 'dictionary' or fy <> '')")
+    f = f.select("tab", "lang", "id", F.concat_ws("\x1f", "fx", "fy").alias("key"), F.concat_ws("\x1f", "x", "y").alias("raw"))
+    return lookalike.look_alike_pairs(f, "id", ["tab", "lang"], "key", "raw").select("tab", "id_a", "id_b")
+
+
+def p5_forms(spark, d):
+    """The one form of every text that is not yet written in it."""
+    f = _forms(spark, d)
+    one = lambda field, raw, form: f.select("tab", "id", F.lit(field).alias("field"), F.col(form).alias("form"), F.col(raw).alias("raw"))
+    return one("first", "x", "fx").unionByName(one("second", "y", "fy")).where("form <> raw").drop("raw")
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_records": p1_records,
@@ -86,5 +114,7 @@ QUERIES = {
     "p2_runs": p2_runs,
     "p2_near_runs": p2_near_runs,
     "p4_found": p4_found,
+    "p5_found": p5_found,
+    "p5_forms": p5_forms,
     "p4_top3": p4_top3,
 }

@@ -32,11 +32,38 @@ WITH b AS (SELECT original, word, distance, frequency FROM candidate WHERE origi
      t AS (SELECT *, row_number() OVER (PARTITION BY original ORDER BY distance, frequency DESC NULLS LAST, word) AS rank FROM b)
 """
 
+# Look-alikes written out for SQL: each character of the first string becomes the one below it.
+_ALIKE = "ɑαаϲсԁеҽɡցһհıɩιіϳјӏոοσоօρрԛգѕυսνѵաѡԝхγуүΑАΒВϹСΕЕϜԌΗНΙІӀͿЈΚКΜМΝΟОՕΡРԚЅՏΤТՍѴԜΧХΥҮΖ‐‑⁃−"
+_LATIN = "aaaccdeegghhiiiijjlnooooppqqsuuvvwwwxyyyAABBCCEEFGHHIIIJJKKMMNOOOPPQSSTTUVWXXYYZ----"
+_WIDE = "".join(map(chr, range(0xFF01, 0xFF5F)))
+_NARROW = "".join(map(chr, range(0x21, 0x7F))).replace("'", "''")
+_NUMERAL = "ⅰⅴⅹⅼⅽⅾⅿⅠⅤⅩⅬⅭⅮⅯ"
+_NUMERAL_TO = "ivxlcdmIVXLCDM"
+
+
+def _form(c: str) -> str:
+    seen = rf"regexp_replace({c}, '[\p{{Cf}}\x{{180E}}]', '', 'g')"
+    blanks = rf"regexp_replace({seen}, '[\p{{Z}}\s]+', ' ', 'g')"
+    letters = f"translate(translate(translate({blanks}, '{_ALIKE}', '{_LATIN}'), '{_WIDE}', '{_NARROW}'), '{_NUMERAL}', '{_NUMERAL_TO}')"
+    return f"trim(nfc_normalize(replace({letters}, chr(833), chr(769))))"
+
+
+_P5 = f"""
+WITH d AS (SELECT lang, entry_id AS id, word AS x, {_form('word')} AS fx FROM dictionary WHERE word IS NOT NULL),
+     e AS (SELECT lang, error_id AS id, typo AS x, correction AS y, {_form('typo')} AS fx, {_form('correction')} AS fy FROM errors
+           WHERE lang IN ('es', 'pt') AND typo IS NOT NULL AND correction IS NOT NULL)
+"""
+
 SQL = {
     "p1_found": _P1 + "SELECT first_id, raw_id AS copy_id FROM g WHERE raw_id <> first_id",
     "p2_found": _P2 + "SELECT window_id, first_seq, last_seq FROM g",
     "p2_runs": _P2 + "SELECT window_id, first_seq, events, duration_ms FROM g",
     "p4_found": _P4 + "SELECT original, word FROM t WHERE rank <= 3",
     "p4_top3": _P4 + "SELECT original, word, rank, distance::BIGINT AS distance, frequency FROM t WHERE rank <= 3",
+    "p5_found": _P5
+    + """SELECT 'dictionary' AS tab, a.id AS id_a, b.id AS id_b FROM d a JOIN d b ON a.lang = b.lang AND a.fx = b.fx AND a.id < b.id AND a.x <> b.x WHERE a.fx <> ''
+         UNION ALL
+         SELECT 'errors', a.id, b.id FROM e a JOIN e b ON a.lang = b.lang AND a.fx = b.fx AND a.fy = b.fy AND a.id < b.id AND (a.x <> b.x OR a.y <> b.y)
+         WHERE a.fx <> '' AND a.fy <> ''""",
     "p1_records": _P1 + "SELECT first_id, max(copies) AS copies FROM g GROUP BY first_id",
 }
