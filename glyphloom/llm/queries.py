@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from glyphloom.llm import formatdup, lookalike, runs, topn
+from glyphloom.llm import canonmap, formatdup, lookalike, runs, topn
 from glyphloom.llm.sql import SQL  # noqa: F401
 from glyphloom.session import read_table
+from glyphloom.skew import attach_by_key
 
 
 # ---------------------------------------------------------------- problem 1
@@ -60,6 +61,28 @@ def p2_near_runs(spark, d):
     return out.select("window_id", F.col("first_order").alias("first_seq"), F.col("last_order").alias("last_seq"), F.col("count").alias("events"), F.col("duration_ms").cast("long").alias("duration_ms"))
 
 
+# ---------------------------------------------------------------- problem 3
+def _typed(spark, d):
+    t = read_table(spark, d, "token_result")
+    both = F.explode(F.array(F.struct(F.lit("original").alias("field"), F.col("original").alias("value")), F.struct(F.lit("corrected").alias("field"), F.col("corrected").alias("value")))).alias("f")
+    return t.select("doc_id", "pos", both).select("doc_id", "pos", "f.*").where("value is not null")
+
+
+def _mapped(spark, d):
+    return canonmap.map_values(_typed(spark, d), "value", read_table(spark, d, "core_words"), "word_id", "word")
+
+
+def p3_found(spark, d):
+    mapped = _mapped(spark, d).where("status = 'mapped'").select("value", "uses", F.col("ref_id").alias("word_id"))
+    found = attach_by_key(_typed(spark, d), mapped, ["value"], ["word_id"], "uses", ["doc_id", "pos", "field"])
+    return found.where("word_id is not null").select("doc_id", "pos", "field", "word_id").distinct()
+
+
+def p3_values(spark, d):
+    """What becomes of every distinct value, the unmatched included."""
+    return _mapped(spark, d).select("value", "uses", F.col("ref_id").alias("word_id"), "slips", "status")
+
+
 # ---------------------------------------------------------------- problem 4
 _LEAST = (1 << 63) - 1  # stands for a null frequency: after every other
 
@@ -113,6 +136,8 @@ QUERIES = {
     "p2_found": p2_found,
     "p2_runs": p2_runs,
     "p2_near_runs": p2_near_runs,
+    "p3_found": p3_found,
+    "p3_values": p3_values,
     "p4_found": p4_found,
     "p5_found": p5_found,
     "p5_forms": p5_forms,

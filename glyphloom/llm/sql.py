@@ -54,6 +54,20 @@ WITH d AS (SELECT lang, entry_id AS id, word AS x, {_form('word')} AS fx FROM di
            WHERE lang IN ('es', 'pt') AND typo IS NOT NULL AND correction IS NOT NULL)
 """
 
+_P3 = r"""
+WITH v AS (SELECT DISTINCT value FROM (SELECT original AS value FROM token_result UNION ALL SELECT corrected FROM token_result) WHERE value IS NOT NULL),
+     f AS (SELECT value, regexp_replace(lower(strip_accents(value)), '[^a-z0-9]', '', 'g') AS k FROM v WHERE value NOT IN (SELECT word FROM core_words)),
+     c AS (SELECT word_id, lower(strip_accents(word)) AS w FROM core_words),
+     p AS (SELECT f.value, c.word_id,
+                  CASE WHEN abs(length(k) - length(w)) <= 2 AND damerau_levenshtein(k, w) <= 2 THEN damerau_levenshtein(k, w)
+                       WHEN regexp_matches(value, '\.\s*$') AND length(k) >= 6 AND length(k) < length(w) AND starts_with(w, k) THEN 1
+                       WHEN length(k) > length(w) + 2
+                            AND list_sum([CASE WHEN k = left(w, i) || repeat(w[i], length(k) - length(w)) || substr(w, i + 1) THEN 1 ELSE 0 END FOR i IN range(1, length(w) + 1)]) > 0 THEN 1
+                       END AS slips
+           FROM f JOIN c ON length(k) >= 6),
+     b AS (SELECT value, word_id FROM p WHERE slips IS NOT NULL QUALIFY rank() OVER (PARTITION BY value ORDER BY slips) = 1 AND count(*) OVER (PARTITION BY value, slips) = 1)
+"""
+
 SQL = {
     "p1_found": _P1 + "SELECT first_id, raw_id AS copy_id FROM g WHERE raw_id <> first_id",
     "p2_found": _P2 + "SELECT window_id, first_seq, last_seq FROM g",
@@ -65,5 +79,8 @@ SQL = {
          UNION ALL
          SELECT 'errors', a.id, b.id FROM e a JOIN e b ON a.lang = b.lang AND a.fx = b.fx AND a.fy = b.fy AND a.id < b.id AND (a.x <> b.x OR a.y <> b.y)
          WHERE a.fx <> '' AND a.fy <> ''""",
+    "p3_found": _P3
+    + """SELECT DISTINCT doc_id, pos, field, word_id FROM
+         (SELECT doc_id, pos, 'original' AS field, original AS value FROM token_result UNION ALL SELECT doc_id, pos, 'corrected', corrected FROM token_result) JOIN b USING (value)""",
     "p1_records": _P1 + "SELECT first_id, max(copies) AS copies FROM g GROUP BY first_id",
 }
