@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from glyphloom.llm import canonmap, formatdup, lookalike, runs, topn
+from glyphloom.llm import canonmap, formatdup, langid, lookalike, runs, topn
 from glyphloom.llm.sql import SQL  # noqa: F401
 from glyphloom.session import read_table
 from glyphloom.skew import attach_by_key
@@ -130,6 +130,25 @@ def p5_forms(spark, d):
     return one("first", "x", "fx").unionByName(one("second", "y", "fy")).where("form <> raw").drop("raw")
 
 
+# ---------------------------------------------------------------- problem 9
+def _passages(spark, d):
+    docs = read_table(spark, d, "documents")
+    return langid.label_passages(docs, langid.fit(docs, "doc_id", "text", "lang"), "doc_id", "text", "lang")
+
+
+def p9_found(spark, d):
+    return langid.mislabelled(_passages(spark, d)).select(F.col("id").alias("doc_id"), "lang")
+
+
+def p9_passages(spark, d):
+    return _passages(spark, d).where("lang is not null").select(F.col("id").alias("doc_id"), "passage", "start", "end", "lang", F.round("confidence", 4).alias("confidence"))
+
+
+def p9_texts(spark, d):
+    p = _passages(spark, d).where("passage is null or passage = 0")
+    return p.select(F.col("id").alias("doc_id"), "label_lang", F.col("text_lang").alias("lang"), F.round("text_confidence", 4).alias("confidence"), F.col("text_langs").alias("languages"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_records": p1_records,
@@ -141,5 +160,8 @@ QUERIES = {
     "p4_found": p4_found,
     "p5_found": p5_found,
     "p5_forms": p5_forms,
+    "p9_found": p9_found,
+    "p9_passages": p9_passages,
+    "p9_texts": p9_texts,
     "p4_top3": p4_top3,
 }
