@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from glyphloom.llm import canonmap, formatdup, langid, lookalike, runs, topn
+from glyphloom.llm import canonmap, formatdup, langid, lookalike, mixing, packing, runs, tokens, topn
 from glyphloom.llm.sql import SQL  # noqa: F401
 from glyphloom.session import read_table
 from glyphloom.skew import attach_by_key
@@ -130,6 +130,39 @@ def p5_forms(spark, d):
     return one("first", "x", "fx").unionByName(one("second", "y", "fy")).where("form <> raw").drop("raw")
 
 
+# ---------------------------------------------------------------- problem 7
+def _capacities(spark, d):
+    return [(r["pack_id"], r["capacity_tokens"]) for r in read_table(spark, d, "pack_sizes").collect()]
+
+
+def _packed(spark, d):
+    sizes = tokens.document_sizes(read_table(spark, d, "documents"), "doc_id", "text")
+    return packing.pack(sizes, _capacities(spark, d))
+
+
+def p7_packed(spark, d):
+    return _packed(spark, d).select("pack_id", "container", F.col("id").alias("doc_id"), "copy", "piece", "first_token", "tokens", "start")
+
+
+def p7_fill(spark, d):
+    return packing.fill_report(_packed(spark, d), _capacities(spark, d))
+
+
+# ---------------------------------------------------------------- problem 8
+def _mixed(spark, d):
+    sizes = tokens.document_sizes(read_table(spark, d, "documents"), "doc_id", "text", ["source"])
+    targets = [(r["source"], r["target_share"], r["max_repeats"]) for r in read_table(spark, d, "mix_targets").collect()]
+    return mixing.mix(sizes, targets)
+
+
+def p8_mixed(spark, d):
+    return _mixed(spark, d)[0].select(F.col("id").alias("doc_id"), "source", "tokens", "repeats")
+
+
+def p8_shares(spark, d):
+    return _mixed(spark, d)[1]
+
+
 # ---------------------------------------------------------------- problem 9
 def _passages(spark, d):
     docs = read_table(spark, d, "documents")
@@ -160,6 +193,10 @@ QUERIES = {
     "p4_found": p4_found,
     "p5_found": p5_found,
     "p5_forms": p5_forms,
+    "p7_packed": p7_packed,
+    "p7_fill": p7_fill,
+    "p8_mixed": p8_mixed,
+    "p8_shares": p8_shares,
     "p9_found": p9_found,
     "p9_passages": p9_passages,
     "p9_texts": p9_texts,
