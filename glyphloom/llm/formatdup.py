@@ -49,17 +49,22 @@ def canonical_whole(c: Column) -> Column:
     return F.when(c.rlike(r"[0-9]") & ~c.rlike(r"[\p{L}]"), plain)
 
 
-def record_field(payload: Column, name: str) -> Column:
+#: Fields that loose notation may name.
+FIELDS = ("word", "frequency")
+
+
+def record_field(payload: Column, name: str, fields: Sequence[str] = FIELDS) -> Column:
     """The value of ``name`` in a JSON object or in loose ``name = value`` notation.
 
     Keys are compared without regard to letter case and outer white space.
-    Loose fields end at a line break, ``;`` or ``|`` that is followed by the
-    next ``name =`` (or at the end), so marks inside a value stay in it.
+    Loose fields end at a line break, ``;`` or ``|`` that is followed by another
+    of ``fields`` (or at the end), so marks inside a value stay in it.
     """
+    others = "|".join(fields)
     entries = F.map_entries(F.from_json(payload, "map<string,string>"))
     named = F.filter(entries, lambda e: F.lower(F.regexp_replace(e["key"], r"[\p{IsWhite_Space}]+", "")) == name)
     in_json = F.get(named, F.lit(0))["value"]
-    loose = F.regexp_extract(payload, rf"(?isu)(?:^|[\n;|])\s*{name}\s*[=:](.*?)(?:$|[\n;|](?=\s*[\p{{L}}]+\s*[=:]))", 1)
+    loose = F.regexp_extract(payload, rf"(?isu)(?:^|[\n;|])\s*{name}\s*[=:](.*?)(?:$|[\n;|](?=\s*(?:{others})\s*[=:]))", 1)
     return F.when(payload.rlike(r"^\s*\{"), in_json).otherwise(F.when(loose != "", loose))
 
 
