@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from glyphloom.llm import canonmap, formatdup, langid, lookalike, mixing, packing, runs, tokens, topn
 from glyphloom.llm.sql import SQL  # noqa: F401
-from glyphloom.session import read_table
+from glyphloom.session import cut_lineage, read_table
 from glyphloom.skew import attach_by_key
 
 
@@ -73,7 +73,7 @@ def _mapped(spark, d):
 
 
 def p3_found(spark, d):
-    mapped = _mapped(spark, d).where("status = 'mapped'").select("value", "uses", F.col("ref_id").alias("word_id"))
+    mapped = cut_lineage(_mapped(spark, d).where("status = 'mapped'").select("value", "uses", F.col("ref_id").alias("word_id")))  # read twice below
     found = attach_by_key(_typed(spark, d), mapped, ["value"], ["word_id"], "uses", ["doc_id", "pos", "field"])
     return found.where("word_id is not null").select("doc_id", "pos", "field", "word_id").distinct()
 
