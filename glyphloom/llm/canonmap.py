@@ -46,9 +46,26 @@ CELLS, GROUP = 2_000_000, 50_000
 _RUN = re.compile(r"(.)\1+")
 
 
-def _grams(word: str) -> set[str]:
-    padded = f"\x02{word}\x03"
-    return {padded[i : i + 2] for i in range(len(padded) - 1)}
+def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all words, each between two sentinels, and the word each is of."""
+    codes = np.frombuffer("".join(f"\x02{w}\x03" for w in words).encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+    return codes, np.repeat(np.arange(len(words)), [len(w) + 2 for w in words])
+
+
+def _grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(word number, bigram) of the distinct bigrams of every word, sorted."""
+    codes, owner = _codes(words)
+    if not len(codes):
+        return owner, codes
+    inside = owner[:-1] == owner[1:]
+    key = np.unique((owner[:-1][inside] << 42) | (codes[:-1][inside] << 21) | codes[1:][inside])
+    return key >> 42, key & ((1 << 42) - 1)
+
+
+def _bags(words: list[str]) -> np.ndarray:
+    """Counts of characters by a small hash, cut at 100: half their difference bounds the distance from below."""
+    codes, owner = _codes(words)
+    return np.minimum(np.bincount(owner * 64 + (codes & 63), minlength=64 * len(words)), 100).astype(np.int8).reshape(len(words), 64)
 
 
 class GramIndex:
@@ -60,52 +77,44 @@ class GramIndex:
         self.texts = [e[1] for e in entries]
         self.exact = set(self.texts)
         self.words = [e[2] for e in entries]
-        self.squeezed = [_RUN.sub(r"\1", w) for w in self.words]
-        post: dict[str, list[int]] = {}
-        for j, w in enumerate(self.words):
-            for g in _grams(w):
-                post.setdefault(g, []).append(j)
+        self.length = np.array([len(w) for w in self.words], dtype=np.int64)
+        self.bag = _bags(self.words)
+        squeezed = [_RUN.sub(r"\1", w) for w in self.words]
+        self.squeezed_id = {w: k for k, w in enumerate(dict.fromkeys(squeezed))}
+        self.squeezed = np.array([self.squeezed_id[w] for w in squeezed], dtype=np.int64)
+        owner, gram = _grams(self.words)
+        order = np.argsort(gram, kind="stable")
+        self.grams, first, count = np.unique(gram[order], return_index=True, return_counts=True)
+        self.post, self.first, self.count = owner[order], first, count
         n = max(len(entries), 1)
-        self.weight = {g: float(np.log(1 + n / len(js))) ** 2 for g, js in post.items()}
+        self.weight = np.log(1 + n / count) ** 2
         self.rare = float(np.log(1 + n)) ** 2  # a gram that no entry has
-        self.post = {g: np.array(js, dtype=np.int64) for g, js in post.items()}
-        self.norm = np.sqrt(np.array([sum(self.weight[g] for g in _grams(w)) for w in self.words]) if entries else np.zeros(0))
-        self.bag = np.array([self._bag(w) for w in self.words], dtype=np.int32).reshape(len(entries), 64)
-
-    @staticmethod
-    def _bag(word: str) -> np.ndarray:
-        """Counts of characters by a small hash: a lower bound of the distance comes from it."""
-        out = np.zeros(64, dtype=np.int32)
-        for c in word:
-            out[ord(c) & 63] += 1
-        return out
+        own = self.weight[np.searchsorted(self.grams, gram)] if len(gram) else np.zeros(0)
+        self.inverse_norm = 1 / np.sqrt(np.maximum(np.bincount(owner, weights=own, minlength=len(entries)), 1e-12)) if entries else np.zeros(0)
 
     def near(self, values: list[str], threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(value number, entry number, cosine) of all pairs at or above the threshold."""
-        m = len(self.words)
-        at, wt, norm = [], [], np.zeros(len(values))
-        for i, v in enumerate(values):
-            for g in _grams(v):
-                w = self.weight.get(g)
-                if w is None:
-                    norm[i] += self.rare
-                else:
-                    norm[i] += w
-                    js = self.post[g]
-                    at.append(js + i * m)
-                    wt.append(np.full(len(js), w))
-        if not at:
-            return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
-        dot = np.bincount(np.concatenate(at), weights=np.concatenate(wt), minlength=0)
-        hit = np.flatnonzero(dot)
-        i, j = hit // m, hit % m
-        cos = dot[hit] / np.maximum(np.sqrt(norm[i]) * self.norm[j], 1e-12)
-        keep = cos >= threshold
-        return i[keep], j[keep], cos[keep]
+        m, n = len(self.words), len(values)
+        owner, gram = _grams(values)
+        if not m or not len(gram):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        at = np.minimum(np.searchsorted(self.grams, gram), len(self.grams) - 1)
+        known = self.grams[at] == gram
+        norm = np.sqrt(np.bincount(owner, weights=np.where(known, self.weight[at], self.rare), minlength=n))
+        owner, at = owner[known], at[known]
+        size = self.count[at]
+        spot = np.arange(size.sum()) + np.repeat(self.first[at] - (np.cumsum(size) - size), size)
+        cell = np.repeat(owner * m, size) + self.post[spot]
+        dot = np.bincount(cell, weights=np.repeat(self.weight[at], size), minlength=n * m).reshape(n, m)
+        dot *= self.inverse_norm
+        i, j = np.nonzero(dot >= (threshold * norm)[:, None])
+        return i, j, dot[i, j] / norm[i]
 
 
 def _one_letter_repeated(value: str, word: str) -> bool:
     """``value`` is ``word`` with one of its letter runs made longer."""
+    if value[:1] != word[:1] or len(value) <= len(word):
+        return False
     a = [m.group() for m in re.finditer(r"(.)\1*", value)]
     b = [m.group() for m in re.finditer(r"(.)\1*", word)]
     if len(a) != len(b):
@@ -127,18 +136,19 @@ def look_up(index: GramIndex, raw: list[str], folded: list[str], slips: int, min
         i, j, cos = index.near(f, threshold)
         if not len(i):
             continue
-        bags = np.array([GramIndex._bag(v) for v in f], dtype=np.int32)
-        squeezed = [_RUN.sub(r"\1", v) for v in f]
-        closed = [v.rstrip().endswith(".") and len(x) >= min_prefix for v, x in zip(r, f)]
-        gap = bags[i] - index.bag[j]
-        maybe = np.maximum(np.where(gap > 0, gap, 0).sum(1), np.where(gap < 0, -gap, 0).sum(1)) <= slips
-        for a, b, c, near in zip(i.tolist(), j.tolist(), cos.tolist(), maybe.tolist()):
+        bags, length = _bags(f), np.array([len(v) for v in f])
+        squeezed = np.array([index.squeezed_id.get(_RUN.sub(r"\1", v), -1) for v in f])
+        closed = np.array([v.rstrip().endswith(".") and len(x) >= min_prefix for v, x in zip(r, f)])
+        near = np.abs(length[i] - index.length[j]) <= slips
+        gap = bags[i[near]] - index.bag[j[near]]
+        near[near] = np.maximum(np.maximum(gap, 0).sum(1), np.maximum(-gap, 0).sum(1)) <= slips
+        longer = (squeezed[i] == index.squeezed[j]) | closed[i]
+        look = near | longer
+        for a, b, c, n in zip(i[look].tolist(), j[look].tolist(), cos[look].tolist(), near[look].tolist()):
             v, w = f[a], index.words[b]
-            d = damerau(v, w, slips) if near else slips + 1
+            d = damerau(v, w, slips) if n else slips + 1
             if d > slips:
-                if squeezed[a] == index.squeezed[b] and _one_letter_repeated(v, w):
-                    d = 1
-                elif closed[a] and len(v) < len(w) and w.startswith(v):
+                if _one_letter_repeated(v, w) or (closed[a] and len(v) < len(w) and w.startswith(v)):
                     d = 1
                 else:
                     continue
