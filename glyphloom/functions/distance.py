@@ -68,6 +68,15 @@ def damerau(a: str, b: str, limit: int) -> int:
         return 0
     if abs(len(a) - len(b)) > limit or (len(a) + 1) * (len(b) + 1) > MAX_CELLS:
         return limit + 1
+    first, last = 0, min(len(a), len(b))
+    while first < last and a[first] == b[first]:
+        first += 1
+    end = 0
+    while end < last - first and a[-1 - end] == b[-1 - end]:
+        end += 1
+    a, b = a[first : len(a) - end], b[first : len(b) - end]  # what both share at the ends costs nothing
+    if not a or not b:
+        return min(len(a) + len(b), limit + 1)
     return min(_table(a, b, 1, lambda x, y: int(x != y)), limit + 1)
 
 
