@@ -28,6 +28,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glyphloom.session import cut_lineage
 from glyphloom.skew import attach_by_key
 
 #: Unicode punctuation and white space: what the comparison of words disregards.
@@ -53,19 +54,22 @@ def canonical_whole(c: Column) -> Column:
 FIELDS = ("word", "frequency")
 
 
-def record_field(payload: Column, name: str, fields: Sequence[str] = FIELDS) -> Column:
-    """The value of ``name`` in a JSON object or in loose ``name = value`` notation.
+def record_fields(rows: DataFrame, payload: str, fields: Sequence[str] = FIELDS) -> DataFrame:
+    """``rows`` with a column per field: its value in a JSON object or in loose ``name = value`` notation.
 
     Keys are compared without regard to letter case and outer white space.
     Loose fields end at a line break, ``;`` or ``|`` that is followed by another
     of ``fields`` (or at the end), so marks inside a value stay in it.
     """
+    p = F.col(payload)
     others = "|".join(fields)
-    entries = F.map_entries(F.from_json(payload, "map<string,string>"))
-    named = F.filter(entries, lambda e: F.lower(F.regexp_replace(e["key"], r"[\p{IsWhite_Space}]+", "")) == name)
-    in_json = F.get(named, F.lit(0))["value"]
-    loose = F.regexp_extract(payload, rf"(?isu)(?:^|[\n;|])\s*{name}\s*[=:](.*?)(?:$|[\n;|](?=\s*(?:{others})\s*[=:]))", 1)
-    return F.when(payload.rlike(r"^\s*\{"), in_json).otherwise(F.when(loose != "", loose))
+    value = lambda name: F.get(F.filter(F.col("_e"), lambda e: e["key"] == name), F.lit(0))["value"]
+    named = lambda e: F.struct(F.lower(F.regexp_replace(e["key"], r"[\p{IsWhite_Space}]+", "")).alias("key"), e["value"].alias("value"))
+    loose = lambda name: F.regexp_extract(p, rf"(?isu)(?:^|[\n;|])\s*{name}\s*[=:](.*?)(?:$|[\n;|](?=\s*(?:{others})\s*[=:]))", 1)
+    loose_entries = F.array(*[F.struct(F.lit(n).alias("key"), F.nullif(loose(n), F.lit("")).alias("value")) for n in fields])
+    # each payload is parsed once; the fields are read from the entries
+    parsed = F.when(p.rlike(r"^\s*\{"), F.transform(F.map_entries(F.from_json(p, "map<string,string>")), named)).otherwise(loose_entries)
+    return rows.withColumn("_e", parsed).select(*rows.columns, *[value(n).alias(n) for n in fields])
 
 
 def canonical_hashes(parts: Sequence[Column]) -> list[Column]:
@@ -79,13 +83,9 @@ def canonical_hashes(parts: Sequence[Column]) -> list[Column]:
 
 def canonical_records(raw: DataFrame, id_col: str, payload: str, part: str) -> DataFrame:
     """(id, h1, h2, h3) of the rows that are records."""
-    p = F.col(payload)
-    words = raw.where(p.isNotNull() & F.col(id_col).isNotNull()).select(
-        F.col(id_col).alias("id"),
-        F.coalesce(F.concat(F.lit("="), F.col(part)), F.lit("")).alias("part"),
-        canonical_text(record_field(p, "word")).alias("word"),
-        canonical_whole(record_field(p, "frequency")).alias("frequency"),
-    )
+    rows = raw.where(F.col(payload).isNotNull() & F.col(id_col).isNotNull())
+    rows = rows.select(F.col(id_col).alias("id"), F.coalesce(F.concat(F.lit("="), F.col(part)), F.lit("")).alias("part"), F.col(payload).alias("payload"))
+    words = record_fields(rows, "payload").select("id", "part", canonical_text(F.col("word")).alias("word"), canonical_whole(F.col("frequency")).alias("frequency"))
     return words.where("word <> '' and frequency is not null").select("id", *canonical_hashes([F.col("part"), F.col("word"), F.col("frequency")]))
 
 
@@ -105,6 +105,7 @@ def copies_of_first(records: DataFrame) -> DataFrame:
     Rows of the heaviest records take the broadcast way of ``attach_by_key``,
     so a record that a third of all rows copy is spread over all tasks.
     """
+    records = cut_lineage(records)  # four numbers a row: cheaper to keep than to parse again
     groups = count_copies(records).where("copies > 1")
     found = attach_by_key(records, groups, ["h1", "h2", "h3"], ["first_id"], "copies", ["id"])
     return found.where("first_id is not null and id <> first_id").select("first_id", F.col("id").alias("copy_id"))
