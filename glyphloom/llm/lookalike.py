@@ -33,6 +33,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glyphloom.session import cut_lineage
+
 #: Letters of other scripts that look like a Latin letter: the letter, then its look-alikes.
 LETTERS = """
 a ɑ α а
@@ -208,10 +210,11 @@ def look_alike_pairs(rows: DataFrame, id_col: str, scope: list[str], key: str, r
     after that, so exact copies, however many, are never compared.
     """
     on = [*scope, "key"]
-    r = rows.where(F.col(key).isNotNull() & F.col(raw).isNotNull() & F.col(id_col).isNotNull()).select(*scope, F.col(key).alias("key"), F.col(raw).alias("raw"), F.col(id_col).alias("id")).distinct()
+    r = rows.where(F.col(key).isNotNull() & F.col(raw).isNotNull() & F.col(id_col).isNotNull()).select(*scope, F.col(key).alias("key"), F.col(raw).alias("raw"), F.col(id_col).alias("id"))
+    r = cut_lineage(r)  # the forms come from Python: made once
+    several = r.groupBy(*on).agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").select(*on)
+    r = r.join(several, on, "left_semi").distinct()  # all that follows is about these rows only
     v = r.select(*on, "raw").distinct()
-    several = v.groupBy(*on).agg(F.count(F.lit(1)).alias("forms")).where("forms > 1").select(*on)
-    v = v.join(several, on, "left_semi")
     vv = v.withColumnRenamed("raw", "raw_a").join(v.withColumnRenamed("raw", "raw_b"), on).where("raw_a < raw_b")
     a = r.select(*on, F.col("raw").alias("raw_a"), F.col("id").alias("a"))
     b = r.select(*on, F.col("raw").alias("raw_b"), F.col("id").alias("b"))
