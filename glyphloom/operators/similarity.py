@@ -11,7 +11,7 @@ verifies, and only survivors reach the Arrow UDF of the weighted distance.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphloom.functions.chars import encode_accents
@@ -21,21 +21,27 @@ from glyphloom.functions.distance import keyboard_distance_col, overlap_ok_col
 SHORT = 24
 
 
-def deletions(word: Column, times: int = 2) -> Column:
-    """All strings that ``word`` reaches by at most ``times`` deletions, itself included."""
-    drop_one = lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(w.substr(F.lit(1), i - 1), w.substr(i + 1, F.length(w))))
-    level = F.array(word)
-    out = level
-    for _ in range(times):
-        level = F.array_distinct(F.flatten(F.transform(level, lambda w: F.when(F.length(w) > 0, drop_one(w)).otherwise(F.array().cast("array<string>")))))
-        out = F.concat(out, level)
-    return F.array_distinct(out)
+def explode_deletions(words: DataFrame, word: str, out: str) -> DataFrame:
+    """``words`` once for every string that ``word`` reaches by at most two deletions, itself included.
+
+    Positions are exploded, not arrays of strings, so all of it is generated
+    code.  A string that is reached in two ways comes twice.
+    """
+    w, n = F.col(word), F.length(word)
+    one = words.withColumn("_i", F.explode(F.sequence(F.lit(0), n)))  # 0: no deletion
+    two = one.withColumn("_j", F.explode(F.sequence(F.when(F.col("_i") == 0, 0).otherwise(F.col("_i") + 1), F.when(F.col("_i") < n, n).otherwise(F.col("_i") + 1))))
+    two = two.where((F.col("_j") <= n))
+    i, j = F.col("_i"), F.col("_j")
+    cut = F.when(j == 0, w).when(i == 0, F.concat(w.substr(F.lit(1), j - 1), w.substr(j + 1, n))).otherwise(
+        F.concat(w.substr(F.lit(1), i - 1), w.substr(i + 1, j - i - 1), w.substr(j + 1, n))
+    )
+    return two.withColumn(out, cut).drop("_i", "_j")
 
 
 def _by_deletions(words: DataFrame, dictionary: DataFrame) -> DataFrame:
-    v = lambda df, enc, *keep: df.select("lang", *keep, enc, F.explode(deletions(F.col(enc))).alias("v")).withColumn("v", F.xxhash64("lang", "v"))
-    q = v(words.where(F.length("word_q") <= SHORT), "word_q")
-    d = v(dictionary.where(F.length("word_enc") <= SHORT + 2), "word_enc")
+    v = lambda df, enc: explode_deletions(df, enc, "v").select("lang", enc, F.xxhash64("lang", "v").alias("v"))
+    q = v(words.where(F.length("word_q") <= SHORT).select("lang", "word_q"), "word_q")
+    d = v(dictionary.where(F.length("word_enc") <= SHORT + 2).select("lang", "word_enc"), "word_enc")
     return q.join(d, ["lang", "v"]).select("lang", "word_q", "word_enc")
 
 
@@ -62,9 +68,9 @@ def candidates(words: DataFrame, dictionary: DataFrame, threshold: int = 2) -> D
     if threshold > 2:
         raise ValueError("the candidate search is complete up to distance 2")
     d = dictionary.select("lang", "word_enc").distinct()
-    pairs = _by_deletions(words, d).unionByName(_by_thirds(words, d)).distinct()
+    pairs = _by_deletions(words, d).unionByName(_by_thirds(words, d))
     near = (F.abs(F.length("word_q") - F.length("word_enc")) <= threshold) & (F.levenshtein("word_q", "word_enc", threshold) >= 0)
-    return pairs.where(near)
+    return pairs.where(near).distinct()
 
 
 def candidates_by_length(words: DataFrame, dictionary: DataFrame, threshold: int = 2) -> DataFrame:
