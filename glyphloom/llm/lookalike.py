@@ -213,7 +213,7 @@ def look_alike_pairs(rows: DataFrame, id_col: str, scope: list[str], key: str, r
     r = rows.where(F.col(key).isNotNull() & F.col(raw).isNotNull() & F.col(id_col).isNotNull()).select(*scope, F.col(key).alias("key"), F.col(raw).alias("raw"), F.col(id_col).alias("id"))
     r = cut_lineage(r)  # the forms come from Python: made once
     several = r.groupBy(*on).agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").select(*on)
-    r = r.join(several, on, "left_semi").distinct()  # all that follows is about these rows only
+    r = cut_lineage(r.join(several, on, "left_semi").distinct())  # few; all that follows is about these rows only
     v = r.select(*on, "raw").distinct()
     vv = v.withColumnRenamed("raw", "raw_a").join(v.withColumnRenamed("raw", "raw_b"), on).where("raw_a < raw_b")
     a = r.select(*on, F.col("raw").alias("raw_a"), F.col("id").alias("a"))
