@@ -243,6 +243,10 @@ def rolling_window_words(spark, d):
     return w.select("doc_id", "pos", F.array_join("words", "\x1f").alias("words"))
 
 
+def language_priors(spark, d):
+    return detect.uniform_priors(_stopwords(spark, d))
+
+
 def lang_scores(spark, d):
     s = detect.score_windows(_tokens(spark, d), _stopwords(spark, d), _dictionary(spark, d), LANGS, DETECTOR)
     return s.select("doc_id", "pos", *[F.round(f"{k}_{l}", 6).alias(f"{k}_{l}") for k in "pc" for l in LANGS])
@@ -284,6 +288,12 @@ def typed_tokens(spark, d):
     return keystrokes.typed_tokens(_events(spark, d)).drop("token_no")
 
 
+def web_results(spark, d):
+    """Results as JSON where a pending last word takes its first suggestion."""
+    r = pipeline.process_texts(_documents(spark, d), _resources(spark, d), "en", remainder="suggest")
+    return r.select("doc_id", "pos", pipeline.result_json().alias("result"))
+
+
 def edit_script(spark, d):
     return keystrokes.edit_script(keystrokes.typed_tokens(_events(spark, d)), _resources(spark, d), "en")
 
@@ -341,8 +351,8 @@ QUERIES = {
         vocab_freq, dict_build, dictionary_stats, top_stopwords, stopword_weights, error_map, all_typos, static_map, map_statistics, learned_map,
         exact_lookup, oov_words, valid_words, typo_lookup, known_typos, stopword_hits,
         fuzzy_candidates, fuzzy_topk, suggestions, correct_words, static_corrections, correct_text,
-        rolling_window_words, lang_scores, lang_switch_strong, lang_switch_full,
-        pipeline_results, pipeline_events, pipeline_json,
+        rolling_window_words, language_priors, lang_scores, lang_switch_strong, lang_switch_full,
+        pipeline_results, pipeline_events, pipeline_json, web_results,
         typed_tokens, edit_script, focus_sessions, keymap, stream_tokens,
         p6_found, p6_counts, p6_missing_keys,
     )

@@ -149,6 +149,7 @@ SQL = {
         WHERE length(p.word) >= 2 AND c <> '' AND {_STRIP.format('c')} <> {_STRIP.format('e.correction')}""",
     "rolling_window_words": f"""WITH {_TOKENS}, w AS (SELECT doc_id, pos, list(lower(token)) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS words FROM tokens)
         SELECT doc_id, pos, array_to_string(words, chr(31)) AS words FROM w WHERE len(words) >= 5""",
+    "language_priors": f"WITH {_STOPS} SELECT lang, 1.0::DOUBLE / count(*) OVER () AS prior FROM (SELECT DISTINCT lang FROM st)",
     "lang_scores": f"WITH {_TOKENS}, {_EVIDENCE} {_windows('tk')} SELECT doc_id, pos, {', '.join(f'round({k}_{x}, 6) AS {k}_{x}' for k in 'pc' for x in _LANGS)} FROM w1",
     "lang_switch_strong": f"""WITH {_TOKENS}, {_EVIDENCE} tn AS (SELECT * FROM tk WHERE NOT pending), {_windows('tn')},
         s AS (SELECT doc_id, pos, greatest(p_en, p_es, p_pt) AS confidence, CASE greatest(p_en, p_es, p_pt) WHEN p_en THEN 'en' WHEN p_es THEN 'es' ELSE 'pt' END AS language FROM w1),

@@ -67,6 +67,7 @@ def correct_tokens(tokens: DataFrame, resources: Resources, config: CorrectionCo
     """
     t = tokens.withColumn("_lang", F.coalesce("lang", F.lit("")))
     distinct = t.groupBy(F.col("_lang").alias("lang"), F.col("token").alias("word")).agg(F.count(F.lit(1)).alias("uses"))
+    distinct = cut_lineage(distinct)
     found = correct_words(distinct.select("lang", "word"), resources, config).join(distinct, ["lang", "word"]).select(
         F.col("lang").alias("_lang"), F.col("word").alias("token"), "uses", "corrected", "source", "candidates"
     )

@@ -77,6 +77,12 @@ def score_windows(tokens: DataFrame, stopwords: DataFrame, dictionary: DataFrame
     )
 
 
+def uniform_priors(stopwords: DataFrame) -> DataFrame:
+    """(lang, prior): one over the number of languages.  Kept for completeness; scores do not use it."""
+    langs = stopwords.select("lang").where("lang is not null").distinct()
+    return langs.select("lang", (F.lit(1.0) / F.count(F.lit(1)).over(Window.partitionBy())).alias("prior"))
+
+
 def rolling_words(tokens: DataFrame, size: int = 5, least: int = 5) -> DataFrame:
     """(doc_id, pos, words): the last ``size`` tokens at each position, once ``least`` are there."""
     w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(-(size - 1), 0)
@@ -134,14 +140,13 @@ def detect_strong(tokens: DataFrame, stopwords: DataFrame, dictionary: DataFrame
     return sure.withColumn("before", before).where("language <> before").select("doc_id", "pos", "language", "confidence")
 
 
-def language_at(tokens: DataFrame, detections: DataFrame, initial: str, mode: str = "fixed") -> DataFrame:
-    """``tokens`` with ``lang``, the language that corrects each one.
+def language_at(tokens: DataFrame, initial: str, mode: str = "fixed") -> DataFrame:
+    """``tokens`` (with ``detected_language``) plus ``lang``, the language that corrects each one.
 
     fixed: the initial language.  propagate_next: a detection at a token
     applies from the next token on.
     """
     if mode == "fixed":
         return tokens.withColumn("lang", F.lit(initial))
-    marked = tokens.join(detections.select("doc_id", "pos", F.col("language").alias("_new")), ["doc_id", "pos"], "left")
     w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    return marked.withColumn("lang", F.coalesce(F.last("_new", ignorenulls=True).over(w), F.lit(initial))).drop("_new")
+    return tokens.withColumn("lang", F.coalesce(F.last(F.col("detected_language")["code"], ignorenulls=True).over(w), F.lit(initial)))

@@ -9,6 +9,7 @@ from glyphloom.config import Config
 from glyphloom.operators.correct import correct_tokens, suggestions
 from glyphloom.operators.detect import detect, language_at
 from glyphloom.operators.tokenize import tokenize
+from glyphloom.session import cut_lineage
 from glyphloom.sources.resources import Resources
 
 
@@ -23,7 +24,12 @@ def process_texts(docs: DataFrame, resources: Resources, initial: str, id_col: s
     tokens = tokenize(docs, id_col, text, p.max_token_chars)
     ended = tokens.where(~F.col("pending"))
     found = detect(ended, resources.stopwords, resources.dictionary, resources.languages(), initial, config.detector) if p.detect_language else None
-    located = language_at(tokens, found, initial, p.language_mode) if found is not None else tokens.withColumn("lang", F.lit(initial))
+    if found is None:
+        located = tokens.withColumn("lang", F.lit(initial)).withColumn("detected_language", F.lit(None).cast("struct<code:string,confidence:double>"))
+    else:
+        d = found.select("doc_id", "pos", F.struct(F.col("language").alias("code"), "confidence").alias("detected_language"))
+        d = cut_lineage(d)  # few rows, read by several jobs; tokens are cheaper to cut again than to keep
+        located = language_at(tokens.join(d, ["doc_id", "pos"], "left"), initial, p.language_mode)
     done = correct_tokens(located, resources, config.correction)
     if remainder == "suggest":
         last = done.where("pending").select("lang", F.col("token").alias("word")).distinct()
@@ -32,11 +38,6 @@ def process_texts(docs: DataFrame, resources: Resources, initial: str, id_col: s
     if not p.auto_correct:
         keep = F.col("pending") if p.strict_remainder else F.lit(False)
         done = done.withColumn("corrected", F.when(keep, F.col("corrected"))).withColumn("source", F.when(keep, F.col("source")).otherwise("None"))
-    if found is not None:
-        d = found.select("doc_id", "pos", F.struct(F.col("language").alias("code"), "confidence").alias("detected_language"))
-        done = done.join(d, ["doc_id", "pos"], "left")
-    else:
-        done = done.withColumn("detected_language", F.lit(None).cast("struct<code:string,confidence:double>"))
     return done.select("doc_id", "pos", F.col("token").alias("original"), "corrected", "source", "detected_language")
 
 
