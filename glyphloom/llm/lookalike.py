@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphloom.session import cut_lineage
+from glyphloom.skew import attach_by_key
 
 #: Letters of other scripts that look like a Latin letter: the letter, then its look-alikes.
 LETTERS = """
@@ -212,8 +213,9 @@ def look_alike_pairs(rows: DataFrame, id_col: str, scope: list[str], key: str, r
     on = [*scope, "key"]
     r = rows.where(F.col(key).isNotNull() & F.col(raw).isNotNull() & F.col(id_col).isNotNull()).select(*scope, F.col(key).alias("key"), F.col(raw).alias("raw"), F.col(id_col).alias("id"))
     r = cut_lineage(r)  # the forms come from Python: made once
-    several = r.groupBy(*on).agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").select(*on)
-    r = cut_lineage(r.join(several, on, "left_semi").distinct())  # few; all that follows is about these rows only
+    several = r.groupBy(*on).agg(F.min("raw").alias("lo"), F.max("raw").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi").select(*on, "n", F.lit(True).alias("several"))
+    r = attach_by_key(r, several, on, ["several"], "n", ["id", "raw"]).where("several").drop("several")
+    r = cut_lineage(r.distinct())  # few; all that follows is about these rows only
     v = r.select(*on, "raw").distinct()
     vv = v.withColumnRenamed("raw", "raw_a").join(v.withColumnRenamed("raw", "raw_b"), on).where("raw_a < raw_b")
     a = r.select(*on, F.col("raw").alias("raw_a"), F.col("id").alias("a"))
