@@ -144,8 +144,9 @@ class LanguageFilter:
 
 def training_sample(docs: DataFrame, id_col: str, text: str, label: str, per_lang: int = TRAIN_DOCS) -> DataFrame:
     """(lang, text): at most ``per_lang`` labelled documents of each language."""
+    labels = docs.select(label_language(F.col(label)).alias("lang")).where("lang is not null")  # reads no text
+    counts = {r["lang"]: r["n"] for r in labels.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     d = docs.where(F.col(text).isNotNull()).select(label_language(F.col(label)).alias("lang"), F.xxhash64(F.col(id_col), F.lit("train")).alias("h"), F.col(text).alias("text")).where("lang is not null")
-    counts = {r["lang"]: r["n"] for r in d.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = F.lit(0.0)
     for lang, n in counts.items():
         share = F.when(F.col("lang") == lang, min(1.0, 1.1 * per_lang / n)).otherwise(share)
