@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import os
+import re
 from functools import cache
 
 import pandas as pd
@@ -27,8 +28,28 @@ def encoding(path: str):
     return tiktoken.Encoding(os.path.basename(path), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+#: White space as the split pattern understands it; longer runs are cut out, as the pattern's look-ahead recurses over them.
+LONG_BLANK = 1000
+_BLANK = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+
+
+def encode_length(e, text: str, longest: int = LONG_BLANK) -> int:
+    """Number of tokens of a text of any length.
+
+    A long run of white space is one piece, but for its last character if
+    something follows, which begins the next piece: exactly what the split
+    pattern makes of it.
+    """
+    n = at = 0
+    for m in re.finditer(f"{_BLANK}{{{longest},}}", text):
+        end = m.end() - (m.end() < len(text))
+        n += len(e.encode_ordinary(text[at : m.start()])) + len(e._encode_single_piece(text[m.start() : end]))
+        at = end
+    return n + len(e.encode_ordinary(text[at:]))
+
+
 def count_tokens(text: str, path: str = VOCABULARY) -> int:
-    return len(encoding(path).encode_ordinary(text))
+    return encode_length(encoding(path), text)
 
 
 def token_count(text: Column, path: str = VOCABULARY) -> Column:
@@ -37,7 +58,7 @@ def token_count(text: Column, path: str = VOCABULARY) -> Column:
     @F.pandas_udf("long")
     def count(s: pd.Series) -> pd.Series:
         e = encoding(path)
-        return pd.Series([None if t is None else len(e.encode_ordinary(t)) for t in s], dtype="Int64")
+        return pd.Series([None if t is None else encode_length(e, t) for t in s], dtype="Int64")
 
     return count(text)
 
