@@ -75,8 +75,10 @@ def edge_parts(c: Column) -> Column:
 
     A word of nothing else has an empty core.
     """
-    pattern = r"(?s)^([-']*)(.*?)([-']*)$"
-    return F.struct(*[F.regexp_extract(c, pattern, i).alias(n) for i, n in ((1, "prefix"), (2, "core"), (3, "suffix"))])
+    prefix = F.regexp_extract(c, "^[-']*", 0)
+    left = F.substring(c, F.length(prefix) + 1, F.length(c))
+    suffix = F.regexp_extract(left, "(?<![-'])[-']+$", 0)
+    return F.struct(prefix.alias("prefix"), F.substring(left, F.lit(1), F.length(left) - F.length(suffix)).alias("core"), suffix.alias("suffix"))
 
 
 def last_chars(c: Column, n: int) -> Column:

@@ -29,7 +29,8 @@ from glyphloom.skew import attach_by_key
 
 def fold_key(c: Column) -> Column:
     """Letter case and outer white space (any Unicode white space) disregarded."""
-    return F.lower(F.regexp_replace(c, r"^[\p{IsWhite_Space}]+|[\p{IsWhite_Space}]+$", ""))
+    # the look-behind lets a run inside the text be tried once, not once per character
+    return F.lower(F.regexp_replace(c, r"^\p{IsWhite_Space}+|(?<!\p{IsWhite_Space})\p{IsWhite_Space}+$", ""))
 
 
 def orphan_keys(children: DataFrame, parents: DataFrame, child_key: str, parent_key: str) -> DataFrame:

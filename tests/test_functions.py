@@ -44,6 +44,14 @@ def test_titlecase_upper_and_edges(spark):
     assert [tuple(x) for x in col(spark, ["-teh-", "'a-b''", "--'", "x", ""], chars.edge_parts)] == [("-", "teh", "-"), ("'", "a-b", "''"), ("--'", "", ""), ("", "x", ""), ("", "", "")]
 
 
+def test_long_inner_runs_take_linear_time(spark):
+    from glyphloom.operators.orphans import fold_key
+
+    blanks, hyphens = "A" + " " * 300_000 + "b  ", "-a" + "-" * 300_000 + "b'"
+    assert col(spark, [blanks, None], fold_key) == [blanks.lower().strip(), None]
+    assert [tuple(x) for x in col(spark, [hyphens], chars.edge_parts)] == [("-", hyphens[1:-1], "'")]
+
+
 def buffer_of(text, limit=64):
     held = ""
     for c in text:
