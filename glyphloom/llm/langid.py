@@ -59,7 +59,7 @@ COVER, LEAD, MIN_WORDS = 0.4, 0.08, 5
 SLICE = 500_000
 
 _ASIDE = re.compile(r"\([^()]{0,160}\)|\[[^\[\]]{0,160}\]|\*[^*\n]{1,80}\*|[–—]\s[^–—:\n]{1,80}:[^–—\n]{0,120}\s[–—]")
-_END = re.compile(r"[.!?…]+[»”\"’')\]]*(?=\s)|\n\s*\n")
+_END = re.compile(r"(?<![.!?…])[.!?…]++[»”\"’')\]]*+(?=\s)|\n\s*\n")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -68,7 +68,7 @@ def label_language(label: Column) -> Column:
 
     Codes may be followed by regions (``en-GB``, ``es_419``); names stand alone.
     """
-    l = F.lower(F.regexp_replace(label, r"^[\p{IsWhite_Space}]+|[\p{IsWhite_Space}]+$", ""))
+    l = F.lower(F.regexp_replace(label, r"^\p{IsWhite_Space}+|(?<!\p{IsWhite_Space})\p{IsWhite_Space}+$", ""))
     code = F.regexp_extract(l, r"^([a-z]{2,3})(?:[-_][a-z0-9]{2,8})*$", 1)
     out = F.lit(None).cast("string")
     for lang, names in LABELS.items():

@@ -44,6 +44,11 @@ def test_empty_null_long_and_repeated(spark):
     assert pairs(spark, rows) == {(1, 2)}
 
 
+def test_long_runs_in_loose_notation(spark):
+    rows = [(1, "en", "word=a" + " \n" * 200_000 + "b; frequency=3"), (2, "en", "\n" * 200_000), (3, "en", "frequency=3" + " " * 200_000 + ";word=ab"), (4, "en", ";" * 200_000), (5, "en", '{"word":"a b","frequency":3}')]
+    assert pairs(spark, rows) == {(1, 3), (1, 5)}
+
+
 def test_hot_record_keeps_every_copy(spark):
     rows = [(i, "en", f'{{"word": "hot{"!" * (i % 3)}", "frequency": 1}}') for i in range(600)] + [(1000 + i, "en", f"word=w{i // 2}; frequency=2") for i in range(100)]
     got = pairs(spark, rows)

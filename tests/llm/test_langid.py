@@ -45,6 +45,11 @@ def test_sentences_and_asides():
     assert [s[2] for s in langid.sentences("the chif-\nfres were known in spring")] == ["the chiffres were known in spring"]
 
 
+def test_odd_long_texts_take_linear_time():
+    for t in ("!" * 500_000, "\n" * 500_000, "(" * 500_000, "– " * 200_000, "a" * 500_000, "*" * 500_000, "." + "'" * 500_000, "! " * 200_000):
+        assert langid.sentences(t) == []
+
+
 def test_texts_passages_and_mislabelled(spark, model):
     mixed = f"{TEXTS['en'][0]} {TEXTS['en'][1]} «{TEXTS['pt'][1]} {TEXTS['pt'][2]}» {TEXTS['en'][2]}"
     rows = [(1, TEXTS["es"][0], "es-MX"), (2, TEXTS["es"][1], "pt"), (3, TEXTS["fr"][2], None), (4, mixed, "en"), (5, None, "en"), (6, "", "en"), (7, "ja", "de"), (8, TEXTS["de"][0] + " (Interruption: That is not true at all!)", "de"), (8, TEXTS["de"][0], "xx")]
