@@ -65,8 +65,9 @@ def record_fields(rows: DataFrame, payload: str, fields: Sequence[str] = FIELDS)
     others = "|".join(fields)
     value = lambda name: F.get(F.filter(F.col("_e"), lambda e: e["key"] == name), F.lit(0))["value"]
     named = lambda e: F.struct(F.lower(F.regexp_replace(e["key"], r"[\p{IsWhite_Space}]+", "")).alias("key"), e["value"].alias("value"))
-    # runs of blanks are shortened first, so that no pattern has to try them again and again
-    short = F.regexp_replace(F.regexp_replace(p, r"[^\S\n]{2,}", " "), r"(?:\n ?){2,}", "\n")
+    # runs of blanks are shortened first, so that no pattern has to try them again and again;
+    # repeated groups are avoided, as Java's recurse once per repetition
+    short = F.regexp_replace(F.regexp_replace(p, r"[^\S\n]{2,}", " "), r"\n[\n ]+", "\n")
     loose = lambda name: F.regexp_extract(short, rf"(?isu)(?:^|[\n;|])\s*{name}\s*[=:](.*?)(?:$|[\n;|](?=\s*(?:{others})\s*[=:]))", 1)
     loose_entries = F.array(*[F.struct(F.lit(n).alias("key"), F.nullif(loose(n), F.lit("")).alias("value")) for n in fields])
     # each payload is parsed once; the fields are read from the entries

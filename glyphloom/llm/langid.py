@@ -69,6 +69,7 @@ def label_language(label: Column) -> Column:
     Codes may be followed by regions (``en-GB``, ``es_419``); names stand alone.
     """
     l = F.lower(F.regexp_replace(label, r"^\p{IsWhite_Space}+|(?<!\p{IsWhite_Space})\p{IsWhite_Space}+$", ""))
+    l = F.when(F.length(l) <= 64, l)  # nothing longer is a label
     code = F.regexp_extract(l, r"^([a-z]{2,3})(?:[-_][a-z0-9]{2,8})*$", 1)
     out = F.lit(None).cast("string")
     for lang, names in LABELS.items():

@@ -33,7 +33,7 @@ def passages(spark, model, rows):
     return langid.label_passages(df, model, "doc_id", "text", "lang")
 
 
-@pytest.mark.parametrize("label, lang", [("en", "en"), ("EN", "en"), (" en-GB ", "en"), ("es_419", "es"), ("Português", "pt"), ("por", "pt"), ("Deutsch", "de"), ("ger", "de"), ("fre", "fr"), ("pt/fr", None), ("mul", None), ("und", None), ("", None), (None, None), ("it", None), ("english text", None), ("-", None)])
+@pytest.mark.parametrize("label, lang", [("en", "en"), ("EN", "en"), (" en-GB ", "en"), ("es_419", "es"), ("Português", "pt"), ("por", "pt"), ("Deutsch", "de"), ("ger", "de"), ("fre", "fr"), ("pt/fr", None), ("mul", None), ("und", None), ("", None), (None, None), ("it", None), ("english text", None), ("-", None), ("en" + "-aa" * 100_000, None)])
 def test_labels(spark, label, lang):
     assert spark.createDataFrame([(label,)], "l string").select(langid.label_language(F.col("l"))).first()[0] == lang
 
