@@ -62,19 +62,52 @@ def _table(a: str, b: str, unit: int, substitute) -> int:
     return rows[-1][-1]
 
 
-def damerau(a: str, b: str, limit: int) -> int:
-    """Unrestricted Damerau distance, at most ``limit + 1``."""
-    if a == b:
-        return 0
-    if abs(len(a) - len(b)) > limit or (len(a) + 1) * (len(b) + 1) > MAX_CELLS:
-        return limit + 1
+def _cut_ends(a: str, b: str) -> tuple[str, str]:
+    """What is left when common beginnings and ends are cut off; they cost nothing."""
     first, last = 0, min(len(a), len(b))
     while first < last and a[first] == b[first]:
         first += 1
     end = 0
     while end < last - first and a[-1 - end] == b[-1 - end]:
         end += 1
-    a, b = a[first : len(a) - end], b[first : len(b) - end]  # what both share at the ends costs nothing
+    return a[first : len(a) - end], b[first : len(b) - end]
+
+
+def _few(a: str, b: str, limit: int) -> int:
+    """Unrestricted Damerau distance for limits up to 2, at most ``limit + 1``.
+
+    Where two words differ first, one of few things happened: a letter was
+    added, dropped, replaced or swapped with its neighbour, or (for two) a swap
+    has one letter more on one side.  Each is tried with what is left of the limit.
+    """
+    a, b = _cut_ends(a, b)
+    m, n = len(a), len(b)
+    if not m or not n:
+        return min(m + n, limit + 1)
+    if limit == 0 or abs(m - n) > limit:
+        return limit + 1
+    best = limit
+    left = limit - 1
+    if m > 1 and n > 1 and a[0] == b[1] and a[1] == b[0]:
+        best = min(best, _few(a[2:], b[2:], left))
+    best = min(best, _few(a[1:], b[1:], left), _few(a[1:], b, left), _few(a, b[1:], left))
+    if limit == 2 and best == 2:
+        if m > 1 and n > 2 and a[0] == b[2] and a[1] == b[0]:
+            best = min(best, 1 + _few(a[2:], b[3:], 0))
+        if m > 2 and n > 1 and a[0] == b[1] and a[2] == b[0]:
+            best = min(best, 1 + _few(a[3:], b[2:], 0))
+    return best + 1
+
+
+def damerau(a: str, b: str, limit: int) -> int:
+    """Unrestricted Damerau distance, at most ``limit + 1``."""
+    if a == b:
+        return 0
+    if abs(len(a) - len(b)) > limit or (len(a) + 1) * (len(b) + 1) > MAX_CELLS:
+        return limit + 1
+    if limit <= 2:
+        return _few(a, b, limit)
+    a, b = _cut_ends(a, b)
     if not a or not b:
         return min(len(a) + len(b), limit + 1)
     return min(_table(a, b, 1, lambda x, y: int(x != y)), limit + 1)

@@ -101,10 +101,22 @@ def test_distance_properties(a, b):
     assert d == distance.damerau(b, a, 20)
     assert (d == 0) == (a == b)
     assert distance.keyboard_distance(a, b, 20) <= 10 * d
-    assert distance.damerau(a, b, 2) == min(d, 3)
+    assert [distance.damerau(a, b, k) for k in (0, 1, 2)] == [min(d, k + 1) for k in (0, 1, 2)]
     assert d == distance._table(a, b, 1, lambda x, y: int(x != y))  # nothing is lost by cutting common ends
 
 
+def test_small_limits_exhaustively():
+    """All pairs of words up to four letters of a small alphabet, against the full table."""
+    from itertools import product
+
+    words = ["".join(w) for n in range(5) for w in product("abc", repeat=n)]
+    r = random.Random(2)
+    for a in words:
+        for b in r.sample(words, 60):
+            d = distance._table(a, b, 1, lambda x, y: int(x != y))
+            assert [distance.damerau(a, b, k) for k in (0, 1, 2, 3)] == [min(d, k + 1) for k in (0, 1, 2, 3)], (a, b)
+
+
 def test_columns_equal_scalars(spark):
     r = random.Random(1)
     pairs = [("".join(r.choice("abcqw") for _ in range(r.randint(0, 6))), "".join(r.choice("abcqw") for _ in range(r.randint(0, 6)))) for _ in range(150)]
