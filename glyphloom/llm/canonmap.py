@@ -82,6 +82,7 @@ class GramIndex:
         squeezed = [_RUN.sub(r"\1", w) for w in self.words]
         self.squeezed_id = {w: k for k, w in enumerate(dict.fromkeys(squeezed))}
         self.squeezed = np.array([self.squeezed_id[w] for w in squeezed], dtype=np.int64)
+        self.begins = {w[:k] for w in self.words for k in range(1, len(w))}
         owner, gram = _grams(self.words)
         order = np.argsort(gram, kind="stable")
         self.grams, first, count = np.unique(gram[order], return_index=True, return_counts=True)
@@ -138,12 +139,13 @@ def look_up(index: GramIndex, raw: list[str], folded: list[str], slips: int, min
             continue
         bags, length = _bags(f), np.array([len(v) for v in f])
         squeezed = np.array([index.squeezed_id.get(_RUN.sub(r"\1", v), -1) for v in f])
-        closed = np.array([v.rstrip().endswith(".") and len(x) >= min_prefix for v, x in zip(r, f)])
+        closed = np.array([len(x) >= min_prefix and x in index.begins and v.rstrip().endswith(".") for v, x in zip(r, f)])
         near = np.abs(length[i] - index.length[j]) <= slips
         gap = bags[i[near]] - index.bag[j[near]]
-        near[near] = np.maximum(np.maximum(gap, 0).sum(1), np.maximum(-gap, 0).sum(1)) <= slips
-        longer = (squeezed[i] == index.squeezed[j]) | closed[i]
-        look = near | longer
+        more = gap.sum(1, dtype=np.int64)
+        apart = np.abs(gap).sum(1, dtype=np.int64)
+        near[near] = (apart + np.abs(more)) // 2 <= slips  # the larger of what is too much and what is missing
+        look = near | (squeezed[i] == index.squeezed[j]) | closed[i]
         for a, b, c, n in zip(i[look].tolist(), j[look].tolist(), cos[look].tolist(), near[look].tolist()):
             v, w = f[a], index.words[b]
             d = damerau(v, w, slips) if n else slips + 1
