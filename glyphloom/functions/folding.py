@@ -31,6 +31,27 @@ def strip_all_accents(c: Column) -> Column:
     return F.regexp_replace(F.translate(c, src, dst), r"\p{M}+", "")
 
 
+@cache
+def composed_letters() -> tuple[tuple[str, str], ...]:
+    """(letter and combining mark, composed letter) of lower-case Latin letters, by rule."""
+    out = []
+    for cp in [*range(0xDF, 0x250), *range(0x1E00, 0x1F00)]:
+        c = chr(cp)
+        parts = unicodedata.normalize("NFD", c)
+        if c.islower() and len(parts) == 2:
+            out.append((parts, c))
+    return tuple(out)
+
+
+def compose_accents(c: Column) -> Column:
+    """Lower-case Latin letters followed by a combining mark become the composed letter.
+
+    Only strings that have a mark are worked on.
+    """
+    pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in composed_letters()])
+    return F.when(c.rlike(r"\p{M}"), F.aggregate(pairs, c, lambda acc, x: F.replace(acc, x["a"], x["b"]))).otherwise(c)
+
+
 def fold_word(c: Column) -> Column:
     """Letters and digits only, lower case, without accents."""
     return F.regexp_replace(strip_all_accents(F.lower(c)), r"[^\p{L}\p{N}]+", "")

@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from glyphloom.functions import chars, distance, locale
-from glyphloom.functions.folding import fold_word
+from glyphloom.functions.folding import compose_accents, fold_word
 
 
 def col(spark, values, fn):
@@ -131,6 +131,13 @@ def test_sql_functions(spark):
     assert tuple(r) == (1, 5, False, None)
 
 
+def test_compose_accents(spark):
+    import unicodedata
+
+    words = ["cafe\u0301", "ni\u006e\u0303o", "plain", "", None, "a\u0323\u0302", "\u0301x", "s\u030co\u0308"]
+    assert col(spark, words, compose_accents) == [w if w is None else unicodedata.normalize("NFC", w) for w in words]
+
+
 def test_fold_word(spark):
     assert col(spark, ["É-ñ ỗ3", "ẹ́", "", None], fold_word) == ["eno3", "e", "", None]
 
