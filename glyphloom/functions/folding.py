@@ -37,10 +37,11 @@ def composed_letters() -> tuple[tuple[str, str], ...]:
     out = []
     for cp in [*range(0xDF, 0x250), *range(0x1E00, 0x1F00)]:
         c = chr(cp)
-        parts = unicodedata.normalize("NFD", c)
-        if c.islower() and len(parts) == 2:
-            out.append((parts, c))
-    return tuple(out)
+        parts = unicodedata.decomposition(c).split()
+        if c.islower() and len(parts) == 2 and "<" not in parts[0]:
+            depth = len(unicodedata.normalize("NFD", c))  # letters with one mark come before those with two
+            out.append((depth, "".join(chr(int(x, 16)) for x in parts), c))
+    return tuple((a, b) for _, a, b in sorted(out))
 
 
 def compose_accents(c: Column) -> Column:
