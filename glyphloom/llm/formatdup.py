@@ -28,6 +28,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glyphloom.functions.folding import compose_accents
 from glyphloom.session import cut_lineage
 from glyphloom.skew import attach_by_key
 
@@ -36,8 +37,8 @@ IGNORED = r"[\p{P}\p{IsWhite_Space}]+"
 
 
 def canonical_text(c: Column) -> Column:
-    """Letter case, punctuation and white space taken out; accents stay."""
-    return F.regexp_replace(F.lower(c), IGNORED, "")
+    """Letter case, punctuation and white space taken out; accents stay, however they are written."""
+    return F.regexp_replace(compose_accents(F.lower(c)), IGNORED, "")
 
 
 def canonical_whole(c: Column) -> Column:

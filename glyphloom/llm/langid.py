@@ -79,11 +79,16 @@ def label_language(label: Column) -> Column:
 
 def sentences(text: str) -> list[tuple[int, int, str]]:
     """(start, end, words in lower case joined by blanks) of the full sentences."""
-    clean = _ASIDE.sub(lambda m: " " * len(m.group()), text)
-    clean = re.sub(r"(?<=[^\W\d_])-\n(?=[^\W\d_])", "\x00\x00", clean)  # a word broken at a line end
+    clean = text
+    if any(c in text for c in "([*–—"):
+        clean = _ASIDE.sub(lambda m: " " * len(m.group()), clean)
+    broken = "-\n" in clean
+    if broken:  # words at line ends
+        clean = re.sub(r"(?<=[^\W\d_])-\n(?=[^\W\d_])", "\x00\x00", clean)
     out, at = [], 0
     for end in [*(m.end() for m in _END.finditer(clean)), len(clean)]:
-        words = _WORD.findall(clean[at:end].replace("\x00", "").lower())
+        part = clean[at:end].lower()
+        words = _WORD.findall(part.replace("\x00", "") if broken else part)
         if len(words) >= MIN_WORDS:
             out.append((at, end, " ".join(words)))
         at = end

@@ -9,7 +9,7 @@ WITH j AS (SELECT raw_id, lang, payload, try_cast(CASE WHEN json_valid(payload)
                   CASE WHEN js IS NOT NULL THEN json_extract_string(js, '$."' || list_filter(ks, lambda x: lower(trim(x)) = 'frequency')[1] || '"')
                        WHEN payload NOT LIKE '{%' THEN regexp_extract(payload, '(?is)(?:^|[\n;|])\s*frequency\s*[=:](.*?)(?:$|[\n;|]\s*word\s*[=:])', 1) END AS n
            FROM k),
-     c AS (SELECT raw_id, coalesce('=' || lang, '') AS l, regexp_replace(lower(w), '[\p{P}\p{Z}\s\x{0085}]+', '', 'g') AS w,
+     c AS (SELECT raw_id, coalesce('=' || lang, '') AS l, regexp_replace(nfc_normalize(lower(w)), '[\p{P}\p{Z}\s\x{0085}]+', '', 'g') AS w,
                   ltrim(regexp_replace(n, '[^0-9]', '', 'g'), '0') AS n
            FROM f WHERE regexp_matches(n, '[0-9]')),
      g AS (SELECT *, min(raw_id) OVER (PARTITION BY l, w, n) AS first_id, count(*) OVER (PARTITION BY l, w, n) AS copies FROM c WHERE w <> '')

@@ -33,6 +33,11 @@ def test_formats_of_one_record(spark):
     assert pairs(spark, rows) == {(0, i) for i in range(1, 7)} | {(101, 102)}
 
 
+def test_accents_composed_or_not(spark):
+    rows = [(1, "es", '{"word":"níl","frequency":1}'), (2, "es", "word=ni\u0301l; frequency=1"), (3, "es", '{"word":"NI\u0301L","frequency":1}'), (4, "es", '{"word":"nil","frequency":1}')]
+    assert pairs(spark, rows) == {(1, 2), (1, 3)}
+
+
 def test_marks_inside_loose_values(spark):
     assert pairs(spark, [(1, "en", "word=a;b; frequency=3"), (2, "en", '{"word":"ab","frequency":3}'), (3, "en", "frequency=3;word=a;b:")]) == {(1, 2), (1, 3)}
 
