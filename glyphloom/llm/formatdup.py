@@ -34,11 +34,13 @@ from glyphloom.skew import attach_by_key
 
 #: Unicode punctuation and white space: what the comparison of words disregards.
 IGNORED = r"[\p{P}\p{IsWhite_Space}]+"
+#: Anything else, without which a word is empty.
+SIGNIFICANT = r"[^\p{P}\p{IsWhite_Space}]"
 
 
 def canonical_text(c: Column) -> Column:
-    """Letter case, punctuation and white space taken out; accents stay, however they are written."""
-    return F.regexp_replace(compose_accents(F.lower(c)), IGNORED, "")
+    """Punctuation and white space taken out of lower-case text; accents stay, however they are written."""
+    return F.regexp_replace(compose_accents(c), IGNORED, "")
 
 
 def canonical_whole(c: Column) -> Column:
@@ -64,16 +66,16 @@ def record_fields(rows: DataFrame, payload: str, fields: Sequence[str] = FIELDS)
     """
     p = F.col(payload)
     others = "|".join(fields)
-    value = lambda name: F.get(F.filter(F.col("_e"), lambda e: e["key"] == name), F.lit(0))["value"]
+    value = lambda entries, name: F.get(F.filter(entries, lambda e: e["key"] == name), F.lit(0))["value"].alias(name)
     named = lambda e: F.struct(F.lower(F.regexp_replace(e["key"], r"[\p{IsWhite_Space}]+", "")).alias("key"), e["value"].alias("value"))
     # runs of blanks are shortened first, so that no pattern has to try them again and again;
     # repeated groups are avoided, as Java's recurse once per repetition
     short = F.regexp_replace(F.regexp_replace(p, r"[^\S\n]{2,}", " "), r"\n[\n ]+", "\n")
     loose = lambda name: F.regexp_extract(short, rf"(?isu)(?:^|[\n;|])\s*{name}\s*[=:](.*?)(?:$|[\n;|](?=\s*(?:{others})\s*[=:]))", 1)
     loose_entries = F.array(*[F.struct(F.lit(n).alias("key"), F.nullif(loose(n), F.lit("")).alias("value")) for n in fields])
-    # each payload is parsed once; the fields are read from the entries
     parsed = F.when(p.rlike(r"^\s*\{"), F.transform(F.map_entries(F.from_json(p, "map<string,string>")), named)).otherwise(loose_entries)
-    return rows.withColumn("_e", parsed).select(*rows.columns, *[value(n).alias(n) for n in fields])
+    # a generator, so that filters on the fields do not make Spark parse a payload again
+    return rows.select(*rows.columns, F.inline(F.transform(F.array(parsed), lambda entries: F.struct(*[value(entries, n) for n in fields]))))
 
 
 def canonical_hashes(parts: Sequence[Column]) -> list[Column]:
@@ -89,8 +91,10 @@ def canonical_records(raw: DataFrame, id_col: str, payload: str, part: str) -> D
     """(id, h1, h2, h3) of the rows that are records."""
     rows = raw.where(F.col(payload).isNotNull() & F.col(id_col).isNotNull())
     rows = rows.select(F.col(id_col).alias("id"), F.coalesce(F.concat(F.lit("="), F.col(part)), F.lit("")).alias("part"), F.col(payload).alias("payload"))
-    words = record_fields(rows, "payload").select("id", "part", canonical_text(F.col("word")).alias("word"), canonical_whole(F.col("frequency")).alias("frequency"))
-    return words.where("word <> '' and frequency is not null").select("id", *canonical_hashes([F.col("part"), F.col("word"), F.col("frequency")]))
+    fields = record_fields(rows, "payload").where(F.col("word").rlike(SIGNIFICANT) & canonical_whole(F.col("frequency")).isNotNull())
+    fields = fields.select("id", "part", F.lower("word").alias("word"), "frequency")
+    words = fields.select("id", "part", canonical_text(F.col("word")).alias("word"), canonical_whole(F.col("frequency")).alias("frequency"))
+    return words.select("id", *canonical_hashes([F.col("part"), F.col("word"), F.col("frequency")]))
 
 
 def count_copies(records: DataFrame) -> DataFrame:
