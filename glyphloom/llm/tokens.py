@@ -29,7 +29,7 @@ def encoding(path: str):
 
 
 #: White space as the split pattern understands it; longer runs are cut out, as the pattern's look-ahead recurses over them.
-LONG_BLANK = 1000
+LONG_BLANK = 10_000
 _BLANK = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
@@ -40,6 +40,8 @@ def encode_length(e, text: str, longest: int = LONG_BLANK) -> int:
     something follows, which begins the next piece: exactly what the split
     pattern makes of it.
     """
+    if len(text) < longest:
+        return len(e.encode_ordinary(text))
     n = at = 0
     for m in re.finditer(f"{_BLANK}{{{longest},}}", text):
         end = m.end() - (m.end() < len(text))
