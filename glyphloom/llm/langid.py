@@ -71,10 +71,8 @@ def label_language(label: Column) -> Column:
     l = F.lower(F.regexp_replace(label, r"^\p{IsWhite_Space}+|(?<!\p{IsWhite_Space})\p{IsWhite_Space}+$", ""))
     l = F.when(F.length(l) <= 64, l)  # nothing longer is a label
     code = F.regexp_extract(l, r"^([a-z]{2,3})(?:[-_][a-z0-9]{2,8})*$", 1)
-    out = F.lit(None).cast("string")
-    for lang, names in LABELS.items():
-        out = F.when(code.isin([n for n in names if len(n) <= 3]) | l.isin(names), lang).otherwise(out)
-    return out
+    table = lambda short: F.create_map(*[F.lit(x) for lang, names in LABELS.items() for n in names if (len(n) <= 3) == short for x in (n, lang)])
+    return F.coalesce(F.try_element_at(table(True), code), F.try_element_at(table(False), l))
 
 
 def sentences(text: str) -> list[tuple[int, int, str]]:
