@@ -174,7 +174,7 @@ def map_statistics(spark, d):
 
 def learned_map(spark, d):
     log = read_table(spark, d, "errors").where("source = 'user'").select("lang", "typo", "correction", F.col("learned_at").alias("at"), F.when(F.col("correction").isNull(), "unlearn").otherwise("learn").alias("action"))
-    return feedback.most_recent(feedback.learned_map(log), 500)
+    return feedback.learned_map(log)
 
 
 # ------------------------------------------------------------------ lookups
