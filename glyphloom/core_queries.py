@@ -53,9 +53,9 @@ def _typed(spark, d):
 
 
 def _pairs(spark, d):
-    """Pairs of printable ASCII words: as typed and as corrected, lower case."""
-    t = read_table(spark, d, "token_result").select(F.lower("original").alias("a"), F.lower("corrected").alias("b")).distinct()
-    return t.where(r"a rlike '^[ -~]*$' and b rlike '^[ -~]*$'")
+    """Pairs of words: as typed and as corrected, lower case."""
+    t = read_table(spark, d, "token_result").where("original is not null and corrected is not null")
+    return t.select(F.lower("original").alias("a"), F.lower("corrected").alias("b")).distinct()
 
 
 # ---------------------------------------------------------------- tokenizer
@@ -120,8 +120,7 @@ def locale_resolve(spark, d):
 
 
 def damerau_pairs(spark, d):
-    p = _pairs(spark, d).where("length(a) <= 64 and length(b) <= 64")
-    return p.select("a", "b", distance.damerau_col(F.col("a"), F.col("b"), 2).alias("distance"))
+    return _pairs(spark, d).select("a", "b", distance.damerau_col(F.col("a"), F.col("b"), 2).alias("distance"))
 
 
 def keyboard_pairs(spark, d):

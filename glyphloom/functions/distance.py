@@ -154,7 +154,7 @@ def keyboard_distance_col(a: Column, b: Column, limit: int | Column) -> Column:
 
 def shared_characters(a: Column, b: Column) -> Column:
     """Size of the multiset intersection of two words' characters, with built-ins."""
-    ca, cb = F.split(a, ""), F.split(b, "")
+    ca, cb = [F.array_remove(F.split(x, ""), "") for x in (a, b)]  # an empty word splits into one empty string
     count = lambda xs, c: F.size(F.filter(xs, lambda x: x == c))
     return F.aggregate(F.array_intersect(ca, cb), F.lit(0), lambda acc, c: acc + F.least(count(ca, c), count(cb, c)))
 

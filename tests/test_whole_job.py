@@ -1,8 +1,12 @@
 """Nothing is left out: rows, characters and sizes that the registered queries once cut away."""
 
 import datetime as dt
+from collections import Counter
+
+import pytest
 
 from glyphloom import core_queries
+from glyphloom.functions import distance
 from glyphloom.operators import feedback
 from glyphloom.sources.resources import MAX_LEARNED
 
@@ -16,3 +20,26 @@ def test_learned_map_keeps_every_entry(spark, tmp_path):
     got = core_queries.learned_map(spark, str(tmp_path))
     assert {(r.typo, r.correction) for r in got.collect()} == {(f"typo{i}", f"word{i}") for i in range(1, n)}
     assert feedback.most_recent(got, 3).count() == 3
+
+
+PAIRS = [
+    ("Também", "tambem"), ("coraçao", "coração"), ("niño", "nino"), ("teh", "the"), ("Łódź", "lodz"), ("日本語", "日本"), ("😀ab", "😀ba"), ("é", "è"), ("tge", "thé"), ("е́", "e"),
+    ("", ""), ("", "á"), ("x" * 70, "x" * 69 + "é"), ("señor" * 20, "senor" * 20), ("teh", "the"), (None, "a"), ("b", None),
+]
+
+
+def test_pairs_of_all_words(spark, tmp_path):
+    spark.createDataFrame(PAIRS, "original string, corrected string").write.parquet(str(tmp_path / "token_result.parquet"))
+    rows = {n: [tuple(r) for r in core_queries.QUERIES[n](spark, str(tmp_path)).collect()] for n in ("damerau_pairs", "keyboard_pairs", "overlap_pairs")}
+    pairs = {(a.lower(), b.lower()) for a, b in PAIRS if a is not None and b is not None}
+    assert sorted(rows["damerau_pairs"]) == sorted((a, b, min(distance._table(a, b, 1, lambda x, y: int(x != y)), 3)) for a, b in pairs)
+    assert sorted(rows["keyboard_pairs"]) == sorted((a, b, min(distance._table(a, b, 10, distance.key_cost), 21)) for a, b in pairs)
+    assert sorted(rows["overlap_pairs"]) == sorted((a, b, sum((Counter(a) & Counter(b)).values()), distance.overlap_ok(a, b)) for a, b in pairs)
+
+
+@pytest.mark.parametrize("name", ["damerau_pairs", "overlap_pairs"])
+def test_rows_of_the_narrower_sql_are_there(name, same):
+    """The SQL leaves words with other than ASCII characters out; what it has is the same."""
+    _, _, ours, theirs = same(name, core_queries.QUERIES, core_queries.SQL)
+    assert theirs and set(theirs) < set(ours)
+    assert all(a.isascii() and b.isascii() for a, b, *_ in theirs)
