@@ -209,9 +209,8 @@ def _open_words(spark, d):
 
 
 def fuzzy_candidates(spark, d):
-    q = _open_words(spark, d).select("lang", chars.encode_accents(F.col("word")).alias("word_q")).distinct().where(r"word_q rlike '^[ -~]+$'")
-    x = _dictionary(spark, d).where(r"word_enc rlike '^[ -~]+$'")
-    return similarity.candidates(q, x)
+    q = _open_words(spark, d).select("lang", chars.encode_accents(F.col("word")).alias("word_q")).distinct()
+    return similarity.candidates(q, _dictionary(spark, d))
 
 
 def fuzzy_topk(spark, d):
