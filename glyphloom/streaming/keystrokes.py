@@ -23,9 +23,6 @@ from glyphloom.sources.resources import Resources
 DELIMITERS = set(WHITESPACE + PUNCTUATION)
 ENDING_KEYS = {"enter", "tab", "escape"}
 
-#: Most words whose evidence is sent to every task; larger dictionaries detect by stopwords alone.
-MAX_EVIDENCE = 200_000
-
 OUTPUT = "device long, ord long, token string, delimiter string, applied boolean, lang string, detected string, confidence double"
 STATE = "saved string"
 
@@ -100,14 +97,20 @@ class KeyState:
         return token, end, applied, lang, found and found[0], found and found[1]
 
 
-def evidence_of(resources: Resources, langs: list[str]) -> dict[str, list[int]]:
-    """word -> stopword weights and dictionary hits per language, if few enough to send to every task."""
-    d = resources.dictionary
-    if d.limit(MAX_EVIDENCE + 1).count() > MAX_EVIDENCE:
-        d = d.where("false")
+def evidence_of(resources: Resources, langs: list[str]) -> dict[str, tuple[int, ...]]:
+    """word -> stopword weights and dictionary hits per language, sent to every task whatever the dictionary's size.
+
+    Spark takes one applyInPandasWithState a stream, so tokens cannot be joined
+    between tokenizer and detector.  Equal rows are one object, so a word costs
+    little more than its text.
+    """
     cols = [f"{k}_{lang}" for k in "sd" for lang in langs]
     plain = F.translate("word_enc", "AEIOUNWBCDFGJL", "áéíóúñüãõçâêôà")
-    return {r["w"]: [r[c] for c in cols] for r in word_evidence(resources.stopwords, d, langs).select(plain.alias("w"), *cols).collect()}
+    out, rows = {}, {}
+    for batch in word_evidence(resources.stopwords, resources.dictionary, langs).select(plain.alias("w"), *cols).toArrow().to_batches():
+        for word, *row in zip(*[c.to_pylist() for c in batch.columns]):
+            out[word] = rows.setdefault(tuple(row), tuple(row))
+    return out
 
 
 def stream_tokens(events: DataFrame, device: str, resources: Resources | None, initial: str, order: str = "seq", window: str = "window_id", config: DetectorConfig = DetectorConfig(), limit: int = 64) -> DataFrame:

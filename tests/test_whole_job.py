@@ -8,7 +8,10 @@ import pytest
 from glyphloom import core_queries
 from glyphloom.functions import distance
 from glyphloom.operators import feedback
+from glyphloom.sources import keyevents
+from glyphloom.sources import resources as res
 from glyphloom.sources.resources import MAX_LEARNED
+from glyphloom.streaming import keystrokes as streaming
 
 
 def test_learned_map_keeps_every_entry(spark, tmp_path):
@@ -63,3 +66,13 @@ def levenshtein(a, b):
         for j, y in enumerate(b, 1):
             last, row[j] = row[j], min(last + (x != y), row[j] + 1, row[j - 1] + 1)
     return row[-1]
+
+
+def test_stream_detects_by_dictionaries_of_any_size(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(streaming, "MAX_EVIDENCE", 1, raising=False)
+    keyevents.simulate(spark, [(1, k) for k in "mundo hola mundo hola mundo hola "]).coalesce(1).write.parquet(str(tmp_path / "src"))
+    tokens = streaming.stream_tokens(keyevents.stream_events(spark, str(tmp_path / "src")), "window_id", res.demo_resources(spark), "en")
+    q = tokens.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    out = spark.read.parquet(str(tmp_path / "out")).orderBy("ord").collect()
+    assert [r.detected for r in out if r.detected] == ["es"] and out[-1].lang == "es"
