@@ -308,16 +308,24 @@ def keymap(spark, d):
     return out
 
 
-def stream_tokens(spark, d):
-    """The typed tokens once more, by the stateful streaming operator over the same files."""
+def _stream(spark, d, res):
     schema = _events(spark, d).schema
     folder = f"{checkpoint_path(spark)}/stream-{uuid.uuid4().hex}"
     events = spark.readStream.schema(schema).parquet(f"{d}/key_events.parquet*")
-    tokens = streaming.stream_tokens(events.where("window_id is not null"), "window_id", None, "en")
+    tokens = streaming.stream_tokens(events.where("window_id is not null"), "window_id", res, "en")
     q = tokens.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    out = spark.read.parquet(f"{folder}/out")
-    return out.select(F.col("device").alias("window_id"), F.col("ord").alias("last_order"), "token", "delimiter", "applied")
+    return spark.read.parquet(f"{folder}/out").withColumnsRenamed({"device": "window_id", "ord": "last_order"})
+
+
+def stream_tokens(spark, d):
+    """The typed tokens once more, by the stateful streaming operator over the same files."""
+    return _stream(spark, d, None).select("window_id", "last_order", "token", "delimiter", "applied")
+
+
+def stream_languages(spark, d):
+    """The streamed tokens with the language each is to be corrected in, and what is detected at it."""
+    return _stream(spark, d, _resources(spark, d)).select("window_id", "last_order", "token", "delimiter", "applied", "lang", "detected", "confidence")
 
 
 # ---------------------------------------------------------------- problem 6
@@ -351,7 +359,7 @@ QUERIES = {
         fuzzy_candidates, fuzzy_topk, suggestions, correct_words, static_corrections, correct_text,
         rolling_window_words, language_priors, lang_scores, lang_switch_strong, lang_switch_full,
         pipeline_results, pipeline_events, pipeline_json, web_results,
-        typed_tokens, edit_script, focus_sessions, keymap, stream_tokens,
+        typed_tokens, edit_script, focus_sessions, keymap, stream_tokens, stream_languages,
         p6_found, p6_counts, p6_missing_keys,
     )
 }

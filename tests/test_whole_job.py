@@ -4,10 +4,13 @@ import datetime as dt
 from collections import Counter
 
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from glyphloom import core_queries
 from glyphloom.functions import distance
-from glyphloom.operators import feedback
+from glyphloom.operators import detect, feedback
+from glyphloom.plans import keystrokes
 from glyphloom.sources import keyevents
 from glyphloom.sources import resources as res
 from glyphloom.sources.resources import MAX_LEARNED
@@ -76,3 +79,18 @@ def test_stream_detects_by_dictionaries_of_any_size(spark, tmp_path, monkeypatch
     q.awaitTermination(120)
     out = spark.read.parquet(str(tmp_path / "out")).orderBy("ord").collect()
     assert [r.detected for r in out if r.detected] == ["es"] and out[-1].lang == "es"
+
+
+def test_stream_languages_equal_the_batch_detector(spark, sf):
+    r = core_queries._resources(spark, sf)
+    t = keystrokes.typed_tokens(core_queries._events(spark, sf)).withColumn("pos", F.row_number().over(Window.partitionBy("window_id").orderBy("last_order")))
+    found = detect.detect(t.select(F.col("window_id").alias("doc_id"), "pos", "token"), r.stopwords, r.dictionary, r.languages(), "en")
+    at = {(x.doc_id, x.pos): (x.language, round(x.confidence, 9)) for x in found.collect()}
+    want, lang, last = [], "en", None
+    for x in t.orderBy("window_id", "pos").collect():
+        lang, last = (lang if x.window_id == last else "en"), x.window_id
+        new, sure = at.get((x.window_id, x.pos), (None, None))
+        want.append((x.window_id, x.last_order, x.token, lang, new, sure))
+        lang = new or lang
+    out = core_queries.stream_languages(spark, sf).orderBy("window_id", "last_order").collect()
+    assert at and [(x.window_id, x.last_order, x.token, x.lang, x.detected, x.confidence and round(x.confidence, 9)) for x in out] == want
