@@ -18,7 +18,7 @@ from glyphloom.functions.chars import encode_accents, strip_accents
 
 #: Longest typo or correction that an error map takes, in characters.
 MAX_ENTRY = 50
-#: Most learned entries an error map holds.
+#: Learned entries that ``feedback.most_recent`` keeps unless told otherwise.
 MAX_LEARNED = 10_000
 #: Magic bytes and smallest size of a compiled dictionary blob.
 MAGIC, MIN_BLOB = b"TFX1", 16
@@ -198,8 +198,8 @@ def compile_static(errors: DataFrame, dictionary: DataFrame) -> DataFrame:
 
 
 def save_learned(errors: DataFrame, path: str, lang: str) -> None:
-    """Learned entries of a language as one flat JSON object (at most ``MAX_LEARNED``)."""
-    rows = errors.where((F.col("source") == "user") & (F.col("lang") == lang)).select("typo", "correction").orderBy("typo").limit(MAX_LEARNED).collect()
+    """Learned entries of a language as one flat JSON object."""
+    rows = errors.where((F.col("source") == "user") & (F.col("lang") == lang)).select("typo", "correction").orderBy("typo").collect()
     Path(path).write_text(json.dumps({r["typo"]: r["correction"] for r in rows}, indent=2, ensure_ascii=False))
 
 

@@ -1,6 +1,7 @@
 """Nothing is left out: rows, characters and sizes that the registered queries once cut away."""
 
 import datetime as dt
+import json
 from collections import Counter
 
 import pytest
@@ -94,3 +95,10 @@ def test_stream_languages_equal_the_batch_detector(spark, sf):
         lang = new or lang
     out = core_queries.stream_languages(spark, sf).orderBy("window_id", "last_order").collect()
     assert at and [(x.window_id, x.last_order, x.token, x.lang, x.detected, x.confidence and round(x.confidence, 9)) for x in out] == want
+
+
+def test_saved_file_has_every_learned_entry(spark, tmp_path):
+    n = MAX_LEARNED + 1
+    e = spark.range(n).selectExpr("'en' lang", "concat('typo', id) typo", "concat('word', id) correction", "'user' source")
+    res.save_learned(e, str(tmp_path / "en.json"), "en")
+    assert json.loads((tmp_path / "en.json").read_text()) == {f"typo{i}": f"word{i}" for i in range(n)}
