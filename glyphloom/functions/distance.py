@@ -24,7 +24,7 @@ sz dx fc gv hb jn km
 """
 _NEAR = {frozenset(p) for p in ADJACENT_KEYS.split()}
 
-#: Most cells of a distance table; beyond it the distance counts as above the limit.
+#: Most cells of a whole distance table; larger ones are filled near the diagonal only.
 MAX_CELLS = 1_000_000
 
 
@@ -62,6 +62,27 @@ def _table(a: str, b: str, unit: int, substitute) -> int:
     return rows[-1][-1]
 
 
+def _band(a: str, b: str, limit: int) -> int:
+    """Unrestricted Damerau distance, at most ``limit + 1``: cells farther than ``limit`` from the diagonal are above it."""
+    top = limit + 1
+    rows = [{j: j for j in range(min(len(b), limit) + 1)}]
+    seen: dict[str, int] = {}
+    for i, x in enumerate(a, 1):
+        above, here, match = rows[-1], {0: i} if i <= limit else {}, 0
+        for j in range(max(1, i - limit), min(len(b), i + limit) + 1):
+            y = b[j - 1]
+            least = min(above.get(j - 1, top) + (x != y), above.get(j, top) + 1, here.get(j - 1, top) + 1)
+            k = seen.get(y, 0)
+            if k and match:
+                least = min(least, rows[k - 1].get(match - 1, top) + i - k + j - match - 1)
+            here[j] = min(least, top)
+            if x == y:
+                match = j
+        rows.append(here)
+        seen[x] = i
+    return rows[-1].get(len(b), top)
+
+
 def _cut_ends(a: str, b: str) -> tuple[str, str]:
     """What is left when common beginnings and ends are cut off; they cost nothing."""
     first, last = 0, min(len(a), len(b))
@@ -103,13 +124,15 @@ def damerau(a: str, b: str, limit: int) -> int:
     """Unrestricted Damerau distance, at most ``limit + 1``."""
     if a == b:
         return 0
-    if abs(len(a) - len(b)) > limit or (len(a) + 1) * (len(b) + 1) > MAX_CELLS:
+    if abs(len(a) - len(b)) > limit:
         return limit + 1
     if limit <= 2:
         return _few(a, b, limit)
     a, b = _cut_ends(a, b)
     if not a or not b:
         return min(len(a) + len(b), limit + 1)
+    if (len(a) + 1) * (len(b) + 1) > MAX_CELLS:
+        return _band(a, b, limit)
     return min(_table(a, b, 1, lambda x, y: int(x != y)), limit + 1)
 
 

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import random
 from collections import Counter
 
 import pytest
@@ -102,3 +103,16 @@ def test_saved_file_has_every_learned_entry(spark, tmp_path):
     e = spark.range(n).selectExpr("'en' lang", "concat('typo', id) typo", "concat('word', id) correction", "'user' source")
     res.save_learned(e, str(tmp_path / "en.json"), "en")
     assert json.loads((tmp_path / "en.json").read_text()) == {f"typo{i}": f"word{i}" for i in range(n)}
+
+
+def test_long_words_are_compared(monkeypatch):
+    long = "abcde" * 400
+    for limit in (1, 2, 3, 30):
+        assert distance.damerau(long, "x" + long[1:-1] + "x", limit) == min(2, limit + 1)
+        assert distance.damerau(long, long[:999] + "é" + long[999:], limit) == 1
+    monkeypatch.setattr(distance, "MAX_CELLS", 0)  # near the diagonal only
+    r = random.Random(4)
+    for _ in range(3000):
+        a, b = ("".join(r.choice("abc") for _ in range(r.randrange(9))) for _ in range(2))
+        d = distance._table(a, b, 1, lambda x, y: int(x != y))
+        assert [distance.damerau(a, b, k) for k in (1, 2, 3, 4, 6)] == [min(d, k + 1) for k in (1, 2, 3, 4, 6)], (a, b)
