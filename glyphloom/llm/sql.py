@@ -64,8 +64,9 @@ WITH v AS (SELECT DISTINCT value FROM (SELECT original AS value FROM token_resul
                        WHEN length(k) > length(w) + 2
                             AND list_sum([CASE WHEN k = left(w, i) || repeat(w[i], length(k) - length(w)) || substr(w, i + 1) THEN 1 ELSE 0 END FOR i IN range(1, length(w) + 1)]) > 0 THEN 1
                        END AS slips
-           FROM f JOIN c ON length(k) >= 6),
-     b AS (SELECT value, word_id FROM p WHERE slips IS NOT NULL QUALIFY rank() OVER (PARTITION BY value ORDER BY slips) = 1 AND count(*) OVER (PARTITION BY value, slips) = 1)
+           FROM f JOIN c ON k <> ''),
+     h AS (SELECT value, word_id, slips, count(*) OVER (PARTITION BY value, slips) AS rivals FROM p WHERE slips IS NOT NULL QUALIFY rank() OVER (PARTITION BY value ORDER BY slips) = 1),
+     b AS (SELECT value, word_id FROM h WHERE rivals = 1)
 """
 
 SQL = {
@@ -82,5 +83,12 @@ SQL = {
     "p3_found": _P3
     + """SELECT DISTINCT doc_id, pos, field, word_id FROM
          (SELECT doc_id, pos, 'original' AS field, original AS value FROM token_result UNION ALL SELECT doc_id, pos, 'corrected', corrected FROM token_result) JOIN b USING (value)""",
+    # equal slips to two words are ambiguous; p3_values names the smaller id then
+    "p3_values": _P3
+    + """, u AS (SELECT value, count(*) AS uses FROM (SELECT original AS value FROM token_result UNION ALL SELECT corrected FROM token_result) WHERE value IS NOT NULL GROUP BY value),
+         m AS (SELECT value, min(word_id) AS word_id, max(slips) AS slips, max(rivals) AS rivals FROM h GROUP BY value)
+         SELECT u.value, u.uses, coalesce(w.word_id, m.word_id) AS word_id, m.slips::INT AS slips,
+                CASE WHEN w.word_id IS NOT NULL THEN 'exact' WHEN m.word_id IS NULL THEN 'unmatched' WHEN rivals > 1 THEN 'ambiguous' ELSE 'mapped' END AS status
+         FROM u LEFT JOIN core_words w ON u.value = w.word LEFT JOIN m ON u.value = m.value""",
     "p1_records": _P1 + "SELECT first_id, max(copies) AS copies FROM g GROUP BY first_id",
 }
