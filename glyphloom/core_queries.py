@@ -6,8 +6,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from glyphloom import core_sql, core_sql_correction
 from glyphloom.config import Config, CorrectionConfig, DetectorConfig, PipelineConfig
-from glyphloom.core_sql import SQL  # noqa: F401
 from glyphloom.functions import chars, distance, locale
 from glyphloom.operators import correct, detect, feedback, lookup, similarity, tokenize
 from glyphloom.operators.orphans import fold_key, orphan_keys, orphan_references, orphan_report
@@ -266,11 +266,12 @@ def _results(spark, d, mode="propagate_next"):
 
 
 def pipeline_results(spark, d):
-    return _results(spark, d)
+    found = F.col("detected_language")
+    return _results(spark, d).select("doc_id", "pos", "original", "corrected", "source", found["code"].alias("detected"), F.round(found["confidence"], 6).alias("confidence"))
 
 
 def pipeline_events(spark, d):
-    return pipeline.pipeline_events(_results(spark, d, "fixed"))
+    return pipeline.pipeline_events(_results(spark, d, "fixed")).withColumn("confidence", F.round("confidence", 6))
 
 
 def pipeline_json(spark, d):
@@ -363,3 +364,5 @@ QUERIES = {
         p6_found, p6_counts, p6_missing_keys,
     )
 }
+
+SQL = core_sql.SQL | core_sql_correction.SQL

@@ -32,10 +32,6 @@ err AS (SELECT lang, typo, correction, source FROM e0 WHERE length(typo) <= 50 A
 _TYPED = """
 typed AS (SELECT DISTINCT coalesce(detected_language.code, 'en') AS lang, original AS word FROM token_result WHERE original IS NOT NULL)
 """
-_PAIRS = """
-pairs AS (SELECT DISTINCT lower(original) AS a, lower(corrected) AS b FROM token_result
-          WHERE regexp_full_match(original, '[ -~]*') AND regexp_full_match(corrected, '[ -~]*'))
-"""
 _EDGE = "regexp_extract({}, '(?s)^([-'']*)(.*?)([-'']*)$', {})"
 _BASE = "CASE WHEN lang IS NOT NULL THEN CASE WHEN regexp_split_to_array(lang, '[-_]')[1] = '' THEN 'en' ELSE lower(regexp_split_to_array(lang, '[-_]')[1]) END END"
 _STOPS = "st AS (SELECT DISTINCT lang, lower(word) AS word FROM stopwords WHERE lang IS NOT NULL AND word IS NOT NULL)"
@@ -114,9 +110,6 @@ SQL = {
         SELECT lang, documents, base,
                CASE WHEN length(lang) = 2 AND lang IN ('en', 'es', 'pt') THEN lang WHEN base IN ('en', 'es', 'pt') THEN base ELSE 'en' END AS code,
                CASE WHEN length(lang) = 2 AND lang IN ('en', 'es', 'pt') THEN 'UserPreference' WHEN base IN ('en', 'es', 'pt') THEN 'SystemLocale' ELSE 'DefaultFallback' END AS source FROM t""",
-    "damerau_pairs": f"WITH {_PAIRS} SELECT a, b, least(damerau_levenshtein(a, b), 3)::INT AS distance FROM pairs WHERE length(a) <= 64 AND length(b) <= 64",
-    "overlap_pairs": f"""WITH {_PAIRS}, s AS (SELECT a, b, coalesce(list_sum([least(length(a) - length(replace(a, c, '')), length(b) - length(replace(b, c, ''))) FOR c IN list_distinct(string_split(a, ''))]), 0)::INT AS shared FROM pairs)
-        SELECT a, b, shared, CASE WHEN greatest(length(a), length(b)) = 0 THEN false WHEN greatest(length(a), length(b)) <= 2 THEN shared > 0 ELSE 5 * shared >= 3 * greatest(length(a), length(b)) END AS enough FROM s""",
     "vocab_freq": f"WITH {_TOKENS} SELECT lang, lower(token) AS word, {_ENC.format('lower(token)')} AS word_enc, count(*) AS freq FROM tokens WHERE lang IS NOT NULL AND token <> '' GROUP BY ALL",
     "dict_build": f"WITH {_DICT} SELECT * FROM dict",
     "dictionary_stats": f"WITH {_DICT} SELECT lang, count(*) AS words, (count(*) * 64 + sum(strlen(word)))::BIGINT AS bytes FROM dict GROUP BY lang",
@@ -139,11 +132,6 @@ SQL = {
     "typo_lookup": f"WITH {_ERR}, {_TYPED} SELECT t.lang, t.word, e.correction, e.source AS error_source FROM typed t LEFT JOIN err e ON t.lang = e.lang AND lower(t.word) = e.typo",
     "known_typos": f"WITH {_ERR}, {_TYPED} SELECT t.lang, t.word FROM typed t JOIN err e ON t.lang = e.lang AND lower(t.word) = e.typo",
     "stopword_hits": f"""WITH {_TOKENS}, {_STOPS} SELECT doc_id, count(*) AS stopwords FROM tokens t JOIN st ON lower(left(t.lang, 2)) = st.lang AND lower(t.token) = st.word GROUP BY doc_id""",
-    "fuzzy_candidates": f"""WITH {_DICT}, {_TYPED},
-        q AS (SELECT DISTINCT lang, {_ENC.format('lower(word)')} AS word_q FROM typed WHERE {_ENC.format('lower(word)')} NOT IN (SELECT word_enc FROM dict)),
-        d AS (SELECT lang, word_enc, length(word_enc) AS m FROM dict WHERE regexp_full_match(word_enc, '[ -~]+')),
-        r AS (SELECT lang, word_q, unnest(range(length(word_q) - 2, length(word_q) + 3)) AS m FROM q WHERE regexp_full_match(word_q, '[ -~]+'))
-        SELECT r.lang, word_q, word_enc FROM r JOIN d ON r.lang = d.lang AND r.m = d.m WHERE levenshtein(word_q, word_enc) <= 2""",
     "static_corrections": f"""WITH {_ERR}, {_TYPED}, p AS (SELECT lang, word, {_EDGE.format('word', 1)} AS a, lower({_EDGE.format('word', 2)}) AS c, {_EDGE.format('word', 3)} AS z FROM typed)
         SELECT p.lang, p.word, a || e.correction || z AS corrected FROM p JOIN err e ON p.lang = e.lang AND p.c = e.typo
         WHERE length(p.word) >= 2 AND c <> '' AND {_STRIP.format('c')} <> {_STRIP.format('e.correction')}""",
