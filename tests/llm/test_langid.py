@@ -90,3 +90,32 @@ def test_without_labels_and_long_text(spark, model):
     long = " ".join([TEXTS["en"][0]] * 20_000 + [TEXTS["de"][0]])
     got = sorted((r.passage, r.lang, r.sentences) for r in passages(spark, model, [(1, long, "en")]).collect())
     assert got == [(0, "en", 20_000), (1, "de", 1)]
+
+
+def test_asides_of_any_length():
+    aside = "the members over there went on and on about it. " * 40
+    for a in (f"({aside})", f"[{aside}]", f"*{aside.strip()}*", f"— a member: {aside}—"):
+        assert [s[2] for s in langid.sentences(f"one two three {a} four five. a b.")] == ["one two three four five"], a[:20]
+    assert len(langid.sentences("it was ( said here that day.\n\nand so it went on for long) they said again.")) == 2
+
+
+def test_labels_of_any_length(spark):
+    asked = {" " * 5000 + "en-GB" + " " * 5000: "en", "en-" + "x" * 9: None, "en--gb": None, "en-": None, "zh_Hans_CN": None, "pt-Latn-BR": "pt", "de-1996": "de", "de-DE-1996-abcde": "de", "en-gb-us": None}
+    got = spark.createDataFrame([(x,) for x in asked], "l string").select("l", langid.label_language(F.col("l")).alias("x"))
+    assert {r.l: r.x for r in got.collect()} == asked
+
+
+def test_short_texts_and_many_languages(spark):
+    r = random.Random(5)
+    labels = {f"l{k:02}": [f"l{k:02}", f"language {k}"] for k in range(12)}
+    words = {l: ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(25)] for l in labels}
+    text = lambda l, n: " ".join(r.choice(words[l]) for _ in range(n)).capitalize() + "."
+    rows = [(i, " ".join(text(l, 8) for _ in range(4)), f"Language {k}") for i, (k, l) in enumerate((k, l) for k, l in enumerate(labels) for _ in range(12))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs, "doc_id", "text", "lang", labels)
+    assert model.kind is np.uint16
+    ask = spark.createDataFrame([(k, text(l, 3), None) for k, l in enumerate(labels)] + [(98, "", None), (99, "§§ 12", None)], "doc_id long, text string, lang string")
+    got = {x.id: (x.text_lang, x.sentences, x.text_confidence) for x in langid.label_passages(ask, model, "doc_id", "text", "lang", labels).collect()}
+    assert [got[k][0] for k in range(12)] == list(labels)
+    assert all(got[k][1] == 0 and 0 < got[k][2] <= 1 for k in range(12))
+    assert got[98][0] is None and got[99][0] is None
