@@ -1,9 +1,9 @@
 """Visually identical text with different characters, brought to one form.
 
-Look-alike relations between strings and code points come from three places:
-compatibility decompositions (width, ligatures, letter-like numerals), general
-categories (blanks; marks one cannot see) and a short list of letters of other
-scripts.  Union-find makes them transitive; each class is represented by its
+Look-alike relations between strings and code points come from compatibility
+decompositions (width, ligatures, letter-like numerals), general categories
+(blanks; marks one cannot see) and a table of letters of other scripts: a short
+list, or the public confusables table (``read_confusables``).  Union-find makes them transitive; each class is represented by its
 most frequent member in the corpus at hand, and text is rewritten greedily,
 longest match first, with a multi-pattern automaton.  Accents are compared in
 decomposed form and composed again, so ``e`` + U+0301 and ``é`` agree.
@@ -17,9 +17,11 @@ Defined results
 * Representatives go by corpus frequency; ties, and members that the corpus
   does not have, by shortness and code point, so the form is deterministic.
 * Very long texts are rewritten whole, in linear time.
-* ``pairs``: exact copies are no pair; null or blank texts are left out; equal
-  ids never pair; every pair once, smaller id first.  Repeated rows under one
-  id count once.
+* ``look_alike_pairs`` and ``look_alike_classes``: exact copies are no pair, and
+  a class has at least two different texts; null or blank texts, and rows
+  whose scope is null, are left out;
+  equal ids never pair; every pair once, smaller id first.  Repeated rows under
+  one id count once.  Texts are compared by 128-bit hashes of form and of text.
 * Empty tables give no rows.  Extra columns and clashing names are harmless.
 """
 
@@ -27,7 +29,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Callable, Iterable
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -93,13 +96,33 @@ _SAME_LOOK = re.compile(r"<(wide|narrow|font|compat|noBreak)> ")
 _UNSEEN = {0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180B, 0x180C, 0x180D, 0x180F, 0x3164, 0xFFA0, *range(0xFE00, 0xFE10)}
 
 
-def relations(chars: Iterable[str]) -> list[tuple[str, str]]:
-    """Look-alike pairs (string, string) that concern the given characters."""
-    chars = set(chars)
+def listed_letters() -> list[tuple[str, str]]:
+    """The short list as pairs."""
+    return [(o, letter) for line in LETTERS.split("\n") if line for letter, *others in [line.split()] for o in others]
+
+
+def read_confusables(path: str, latin_only: bool = True) -> list[tuple[str, str]]:
+    """Pairs of a table in the format of Unicode's confusables file: ``source ; target ; kind # ...``, code points in hex.
+
+    ``latin_only`` leaves out what would make two printable ASCII strings equal
+    (``l`` and ``1``, ``rn`` and ``m``), which differ visibly in most fonts.
+    """
+    plain = lambda x: x.isascii() and x.isprintable()
     out = []
-    for line in LETTERS.split("\n"):
-        letter, *others = line.split() or [""]
-        out += [(o, letter) for o in others]
+    with open(path, encoding="utf-8-sig") as f:
+        for line in f:
+            parts = line.split("#")[0].split(";")
+            if len(parts) >= 2:
+                a, b = ["".join(chr(int(x, 16)) for x in p.split()) for p in parts[:2]]
+                if a and b and not (latin_only and plain(a) and plain(b)):
+                    out.append((a, b))
+    return out
+
+
+def relations(chars: Iterable[str], table: Iterable[tuple[str, str]] | None = None) -> list[tuple[str, str]]:
+    """Look-alike pairs (string, string) that concern the given characters; ``table`` replaces the short list."""
+    chars = set(chars)
+    out = listed_letters() if table is None else list(table)
     for c in sorted(chars):
         kind = unicodedata.category(c)
         if kind == "Cf" or ord(c) in _UNSEEN:
@@ -132,7 +155,7 @@ def classes(pairs: Iterable[tuple[str, str]]) -> list[set[str]]:
     return list(groups.values())
 
 
-def representatives(counts: dict[str, int]) -> dict[str, str]:
+def representatives(counts: dict[str, int], table: Iterable[tuple[str, str]] | None = None) -> dict[str, str]:
     """member -> most frequent member of its class, for members that differ from it.
 
     ``counts``: frequency of each character.  A string of several characters
@@ -145,7 +168,7 @@ def representatives(counts: dict[str, int]) -> dict[str, str]:
             decomposed[part] = decomposed.get(part, 0) + n
     freq = lambda s: min((decomposed.get(x, 0) for x in s), default=0)
     out = {}
-    for group in classes(relations(decomposed)):
+    for group in classes(relations(decomposed, table)):
         fixed = [x for x in ("", " ") if x in group]
         best = fixed[0] if fixed else min(group, key=lambda x: (-freq(x), len(x), x))
         out |= {m: best for m in group if m and m != best}
@@ -182,43 +205,78 @@ class Rewriter:
         return re.sub(" +", " ", text).strip(" ") if " " in text else text
 
 
-def character_counts(texts: DataFrame, col: str) -> dict[str, int]:
-    """Frequency of every character of the column, over all rows.
+def character_counts(texts: DataFrame, *cols: str) -> dict[str, int]:
+    """Frequency of every character of the columns, over all rows.
 
-    Combined map-side; what comes to the driver is one row per distinct
-    character, at most the size of Unicode.
+    Counted per Arrow batch, then summed; what comes to the driver is one row
+    per distinct character, at most the size of Unicode.
     """
-    chars = texts.select(F.explode(F.split(F.col(col), "")).alias("c")).where("c <> ''").groupBy("c").agg(F.count(F.lit(1)).alias("n"))
-    return {r["c"]: r["n"] for r in chars.collect()}
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            n: Counter[str] = Counter()
+            for c in pdf.columns:
+                n.update("".join(pdf[c].dropna()))
+            yield pd.DataFrame({"c": list(n), "n": list(n.values())})
+
+    chars = texts.select(*[F.col(c).cast("string").alias(f"t{i}") for i, c in enumerate(cols)]).mapInPandas(count, "c string, n long")
+    return {r["c"]: r["n"] for r in chars.groupBy("c").agg(F.sum("n").alias("n")).collect()}
 
 
-def unifier(counts: dict[str, int]) -> Callable[[Column], Column]:
+def unifier(counts: dict[str, int], table: Iterable[tuple[str, str]] | None = None) -> Callable[[Column], Column]:
     """A column function that brings text to its one form."""
-    to = representatives(counts)
+    to = representatives(counts, table)
 
     @F.pandas_udf("string")
-    def form(s: pd.Series) -> pd.Series:
-        rewrite = Rewriter(to)
-        return s.map(rewrite, na_action="ignore")
+    def form(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        rewrite = Rewriter(to)  # one automaton per task
+        for s in batches:
+            yield s.map(rewrite, na_action="ignore")
 
     return form
 
 
+def _alike(rows: DataFrame, id_col: str, scope: list[str], key: str, raw: str) -> DataFrame:
+    """(scope..., k1, k2, r1, r2, id): the rows whose form several different texts of one scope have.
+
+    Texts are hashed before anything is kept or moved.  Rows of the heaviest
+    forms take the broadcast way of ``attach_by_key``.
+    """
+    h = lambda k, c: [F.xxhash64(*scope, c).alias(f"{k}1"), F.xxhash64(F.lit("second"), *scope, c).alias(f"{k}2")]
+    r = rows.where(F.col(key).isNotNull() & F.col(raw).isNotNull() & F.col(id_col).isNotNull())
+    for c in scope:
+        r = r.where(F.col(c).isNotNull())
+    r = r.select(*scope, *h("k", F.col(key)), *h("r", F.col(raw)), F.col(id_col).alias("id"))
+    r = cut_lineage(r)  # the forms come from Python: made once
+    text = F.struct("r1", "r2")
+    several = r.groupBy("k1", "k2").agg(F.min(text).alias("lo"), F.max(text).alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi").select("k1", "k2", "n", F.lit(True).alias("several"))
+    return attach_by_key(r, several, ["k1", "k2"], ["several"], "n", ["id"]).where("several").drop("several").distinct()
+
+
 def look_alike_pairs(rows: DataFrame, id_col: str, scope: list[str], key: str, raw: str) -> DataFrame:
     """(scope..., id_a, id_b): rows of one scope whose ``key`` agrees and ``raw`` differs.
 
     Distinct texts of a key are paired first and the rows attached to each side
     after that, so exact copies, however many, are never compared.
     """
-    on = [*scope, "key"]
-    r = rows.where(F.col(key).isNotNull() & F.col(raw).isNotNull() & F.col(id_col).isNotNull()).select(*scope, F.col(key).alias("key"), F.col(raw).alias("raw"), F.col(id_col).alias("id"))
-    r = cut_lineage(r)  # the forms come from Python: made once
-    several = r.groupBy(*on).agg(F.min("raw").alias("lo"), F.max("raw").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi").select(*on, "n", F.lit(True).alias("several"))
-    r = attach_by_key(r, several, on, ["several"], "n", ["id", "raw"]).where("several").drop("several")
-    r = cut_lineage(r.distinct())  # few; all that follows is about these rows only
-    v = r.select(*on, "raw").distinct()
-    vv = v.withColumnRenamed("raw", "raw_a").join(v.withColumnRenamed("raw", "raw_b"), on).where("raw_a < raw_b")
-    a = r.select(*on, F.col("raw").alias("raw_a"), F.col("id").alias("a"))
-    b = r.select(*on, F.col("raw").alias("raw_b"), F.col("id").alias("b"))
-    out = vv.join(a, [*on, "raw_a"]).join(b, [*on, "raw_b"]).where("a <> b")
+    on = ["k1", "k2"]
+    r = cut_lineage(_alike(rows, id_col, scope, key, raw))  # few; all that follows is about these rows only
+    side = lambda df, x: df.withColumnsRenamed({"r1": f"{x}1", "r2": f"{x}2", "id": x})
+    v = r.select(*on, "r1", "r2").distinct()
+    vv = side(v, "a").join(side(v, "b"), on).where(F.struct("a1", "a2") < F.struct("b1", "b2"))
+    a, b = side(r.select(*on, "r1", "r2", "id"), "a"), side(r.select(*scope, *on, "r1", "r2", "id"), "b")
+    out = vv.join(a, [*on, "a1", "a2"]).join(b, [*on, "b1", "b2"]).where("a <> b")
     return out.select(*scope, F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"))
+
+
+def look_alike_classes(rows: DataFrame, id_col: str, scope: list[str], key: str, raw: str) -> DataFrame:
+    """(scope..., id, class_id, texts, members): each row that looks like a different text, with its class.
+
+    ``class_id`` is the smallest id of the class, ``texts`` the number of its
+    different texts and ``members`` of its rows; the class of a hot form is
+    counted map-side, and nothing is paired.
+    """
+    r = cut_lineage(_alike(rows, id_col, scope, key, raw))
+    text = r.groupBy("k1", "k2", "r1", "r2").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"))
+    c = text.groupBy("k1", "k2").agg(F.min("least").alias("class_id"), F.count(F.lit(1)).alias("texts"), F.sum("n").alias("members"))
+    return attach_by_key(r, c, ["k1", "k2"], ["class_id", "texts", "members"], "members", ["id"]).select(*scope, "id", "class_id", "texts", "members")

@@ -112,15 +112,23 @@ def _texts(spark, d):
 
 def _forms(spark, d):
     t = _texts(spark, d)
-    counts = lookalike.character_counts(t.select(F.concat_ws(" ", "x", "y").alias("text")), "text")
+    counts = lookalike.character_counts(t, "x", "y")
     form = lookalike.unifier(counts)
     return t.withColumn("fx", form("x")).withColumn("fy", form("y"))
 
 
-def p5_found(spark, d):
+def _entries(spark, d):
     f = _forms(spark, d).where("fx <> '' and (tab = 'dictionary' or fy <> '')")
-    f = f.select("tab", "lang", "id", F.concat_ws("\x1f", "fx", "fy").alias("key"), F.concat_ws("\x1f", "x", "y").alias("raw"))
-    return lookalike.look_alike_pairs(f, "id", ["tab", "lang"], "key", "raw").select("tab", "id_a", "id_b")
+    return f.select("tab", "lang", "id", F.concat_ws("\x1f", "fx", "fy").alias("key"), F.concat_ws("\x1f", "x", "y").alias("raw"))
+
+
+def p5_found(spark, d):
+    return lookalike.look_alike_pairs(_entries(spark, d), "id", ["tab", "lang"], "key", "raw").select("tab", "id_a", "id_b")
+
+
+def p5_classes(spark, d):
+    """One row per entry that looks like another text, with its class and the class's size."""
+    return lookalike.look_alike_classes(_entries(spark, d), "id", ["tab", "lang"], "key", "raw").select("tab", "id", "class_id", "texts", "members")
 
 
 def p5_forms(spark, d):
@@ -193,6 +201,7 @@ QUERIES = {
     "p4_found": p4_found,
     "p5_found": p5_found,
     "p5_forms": p5_forms,
+    "p5_classes": p5_classes,
     "p7_packed": p7_packed,
     "p7_fill": p7_fill,
     "p8_mixed": p8_mixed,

@@ -80,6 +80,16 @@ SQL = {
          UNION ALL
          SELECT 'errors', a.id, b.id FROM e a JOIN e b ON a.lang = b.lang AND a.fx = b.fx AND a.fy = b.fy AND a.id < b.id AND (a.x <> b.x OR a.y <> b.y)
          WHERE a.fx <> '' AND a.fy <> ''""",
+    "p5_classes": _P5
+    + """, x AS (SELECT 'dictionary' AS tab, lang, id, x AS raw, fx AS key FROM d WHERE fx <> '' UNION ALL
+                 SELECT 'errors', lang, id, x || chr(31) || y, fx || chr(31) || fy FROM e WHERE fx <> '' AND fy <> ''),
+         g AS (SELECT tab, id, min(id) OVER w AS class_id, raw, count(*) OVER w AS members, min(raw) OVER w AS lo, max(raw) OVER w AS hi, tab || coalesce(lang, '') || key AS k FROM x WHERE lang IS NOT NULL WINDOW w AS (PARTITION BY tab, lang, key)),
+         n AS (SELECT k, count(DISTINCT raw) AS texts FROM g GROUP BY k)
+         SELECT tab, id, class_id, texts, members FROM g JOIN n USING (k) WHERE lo <> hi""",
+    "p5_forms": f"""WITH f AS (SELECT 'dictionary' AS tab, entry_id AS id, 'first' AS field, word AS raw, {_form('word')} AS form FROM dictionary
+         UNION ALL SELECT 'errors', error_id, 'first', typo, {_form('typo')} FROM errors WHERE lang IN ('es', 'pt')
+         UNION ALL SELECT 'errors', error_id, 'second', correction, {_form('correction')} FROM errors WHERE lang IN ('es', 'pt'))
+         SELECT tab, id, field, form FROM f WHERE form <> raw""",
     "p3_found": _P3
     + """SELECT DISTINCT doc_id, pos, field, word_id FROM
          (SELECT doc_id, pos, 'original' AS field, original AS value FROM token_result UNION ALL SELECT doc_id, pos, 'corrected', corrected FROM token_result) JOIN b USING (value)""",

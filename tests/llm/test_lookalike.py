@@ -64,3 +64,21 @@ def test_empty(spark):
     df = spark.createDataFrame([], "id long, lang string, word string")
     assert la.character_counts(df, "word") == {}
     assert la.look_alike_pairs(df.withColumn("f", la.unifier({})(F.col("word"))), "id", ["lang"], "f", "word").count() == 0
+
+
+def test_confusables_table(tmp_path):
+    f = tmp_path / "table.txt"
+    f.write_text("﻿# comment\n0430 ;\t0061 ;\tMA\t# a\n0031 ; 006C ; MA\nA732 ; 0041 0041 ; MA # two\n\n", encoding="utf-8")
+    table = la.read_confusables(str(f))
+    assert table == [("а", "a"), ("Ꜳ", "AA")]
+    assert ("1", "l") in la.read_confusables(str(f), latin_only=False)
+    rewrite = la.Rewriter(la.representatives({"A": 5, "a": 9, "а": 1, "Ꜳ": 1}, table))
+    assert rewrite("ПаꜲ") == "ПaAA" and rewrite("о") == "о"
+
+
+def test_classes(spark):
+    rows = [(1, "en", "k", "x"), (2, "en", "k", "y"), (3, "en", "k", "x"), (3, "en", "k", "x"), (4, "en", "only", "z"), (5, "en", "only", "z"), (6, "es", "k", "x"), (7, "en", None, "x"), (8, None, "k", "x"), (9, None, "k", "y")]
+    df = spark.createDataFrame(rows, "id long, lang string, key string, raw string").withColumn("k1", F.lit("clash"))
+    got = la.look_alike_classes(df, "id", ["lang"], "key", "raw").collect()
+    assert sorted((r.id, r.class_id, r.texts, r.members) for r in got) == [(1, 1, 2, 3), (2, 1, 2, 3), (3, 1, 2, 3)]
+    assert la.look_alike_classes(df.where("false"), "id", ["lang"], "key", "raw").collect() == []
