@@ -1,12 +1,14 @@
-"""Accent and case folding with built-in functions (no UDF)."""
+"""Accent and case folding; built-in functions wherever a string has no mark to compose."""
 
 from __future__ import annotations
 
 import unicodedata
 from functools import cache
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 @cache
@@ -31,26 +33,19 @@ def strip_all_accents(c: Column) -> Column:
     return F.regexp_replace(F.translate(c, src, dst), r"\p{M}+", "")
 
 
-@cache
-def composed_letters() -> tuple[tuple[str, str], ...]:
-    """(letter and combining mark, composed letter) of lower-case Latin letters, by rule."""
-    out = []
-    for cp in [*range(0xDF, 0x250), *range(0x1E00, 0x1F00)]:
-        c = chr(cp)
-        parts = unicodedata.decomposition(c).split()
-        if c.islower() and len(parts) == 2 and "<" not in parts[0]:
-            depth = len(unicodedata.normalize("NFD", c))  # letters with one mark come before those with two
-            out.append((depth, "".join(chr(int(x, 16)) for x in parts), c))
-    return tuple((a, b) for _, a, b in sorted(out))
+@F.pandas_udf(StringType())
+def _composed(s: pd.Series) -> pd.Series:
+    return s.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
 
 
-def compose_accents(c: Column) -> Column:
-    """Lower-case Latin letters followed by a combining mark become the composed letter.
+#: Strings that may not be in composed form: marks, jamo, and letters whose composed form is another letter.
+_OPEN = r"[\p{M}\u1100-\u11FF\u0340-\u037E\u0387\u0958-\u0BFF\u0F43-\u0FB9\u1F71-\u1FFD\u2000-\u2001\u2126-\u212B\u2329\u232A\u2ADC\uF900-\uFB4E\x{1D15E}-\x{1D1C0}\x{2F800}-\x{2FA1D}]"
 
-    Only strings that have a mark are worked on.
-    """
-    pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in composed_letters()])
-    return F.when(c.rlike(r"\p{M}"), F.aggregate(pairs, c, lambda acc, x: F.replace(acc, x["a"], x["b"]))).otherwise(c)
+
+def compose_accents(c: Column) -> Column:
+    """Composed form (NFC) of every script; Python sees only the strings that may differ from theirs."""
+    may = c.rlike(_OPEN)
+    return F.when(may, _composed(F.when(may, c))).otherwise(c)
 
 
 def fold_word(c: Column) -> Column:
