@@ -5,7 +5,8 @@ looser ``name = value`` notation.  Two records are the same when their
 canonical forms agree; copies are found by a 128-bit hash of the canonical
 form, aggregated with map-side combining.  A third, independent 64-bit hash is
 part of the grouping key as a collision check, so two records that collide on
-all 128 bits still stay apart; ``collisions`` lists such cases.
+all 128 bits still stay apart; ``collision_report`` compares the canonical
+texts themselves.
 
 Defined results
 ---------------
@@ -87,14 +88,15 @@ def canonical_hashes(parts: Sequence[Column]) -> list[Column]:
     ]
 
 
-def canonical_records(raw: DataFrame, id_col: str, payload: str, part: str) -> DataFrame:
-    """(id, h1, h2, h3) of the rows that are records."""
+def canonical_records(raw: DataFrame, id_col: str, payload: str, part: str, with_text: bool = False) -> DataFrame:
+    """(id, h1, h2, h3) of the rows that are records, and their canonical text if wanted."""
     rows = raw.where(F.col(payload).isNotNull() & F.col(id_col).isNotNull())
     rows = rows.select(F.col(id_col).alias("id"), F.coalesce(F.concat(F.lit("="), F.col(part)), F.lit("")).alias("part"), F.col(payload).alias("payload"))
     fields = record_fields(rows, "payload").where(F.col("word").rlike(SIGNIFICANT) & canonical_whole(F.col("frequency")).isNotNull())
     fields = fields.select("id", "part", F.lower("word").alias("word"), "frequency")
     words = fields.select("id", "part", canonical_text(F.col("word")).alias("word"), canonical_whole(F.col("frequency")).alias("frequency"))
-    return words.select("id", *canonical_hashes([F.col("part"), F.col("word"), F.col("frequency")]))
+    parts = [F.col("part"), F.col("word"), F.col("frequency")]
+    return words.select("id", *canonical_hashes(parts), *([F.concat_ws("\x1f", *parts).alias("canonical")] if with_text else []))
 
 
 def count_copies(records: DataFrame) -> DataFrame:
@@ -107,6 +109,15 @@ def collisions(groups: DataFrame) -> DataFrame:
     return groups.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("forms")).where("forms > 1")
 
 
+def collision_report(records: DataFrame) -> DataFrame:
+    """(records, forms, colliding): rows, distinct canonical forms, and 128-bit hashes that different canonical texts share.
+
+    ``records`` carry their canonical text; per hash only the first and last text are kept.
+    """
+    per = records.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("canonical").alias("lo"), F.max("canonical").alias("hi"))
+    return per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("records"), F.count(F.lit(1)).alias("forms"), F.count(F.when(F.col("lo") != F.col("hi"), 1)).alias("colliding"))
+
+
 def copies_of_first(records: DataFrame) -> DataFrame:
     """(first_id, copy_id): each copy beside the smallest id of its record.
 

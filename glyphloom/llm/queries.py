@@ -23,6 +23,10 @@ def p1_records(spark, d):
     return formatdup.count_copies(_records(spark, d)).select("first_id", "copies")
 
 
+def p1_collisions(spark, d):
+    return formatdup.collision_report(formatdup.canonical_records(read_table(spark, d, "dict_raw"), "raw_id", "payload", "lang", True))
+
+
 # ---------------------------------------------------------------- problem 2
 def _key():
     return F.regexp_replace(F.lower("key"), r"[^\p{L}]", "")
@@ -193,6 +197,7 @@ def p9_texts(spark, d):
 QUERIES = {
     "p1_found": p1_found,
     "p1_records": p1_records,
+    "p1_collisions": p1_collisions,
     "p2_found": p2_found,
     "p2_runs": p2_runs,
     "p2_near_runs": p2_near_runs,

@@ -1,6 +1,7 @@
 import json
 from collections import defaultdict
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -84,3 +85,17 @@ def test_against_brute_force(spark, items):
 def test_canonical_whole(spark):
     df = spark.createDataFrame([("007",), ("-5",), ("1,2 3",), ("x",), ("",), (None,), ("0",)], "s string")
     assert [r[0] for r in df.select(fd.canonical_whole(F.col("s"))).collect()] == ["7", "5", "123", None, None, None, "0"]
+
+
+@pytest.mark.parametrize("word", ["й", "ά", "가", "ệ", "İ", "か\u3099", "क\u093c"])
+def test_copies_in_both_normal_forms(spark, word):
+    import unicodedata
+
+    forms = [unicodedata.normalize(f, f"x{word}y") for f in ("NFC", "NFD")] + [f"x{word}y"]
+    assert pairs(spark, [(i, "en", json.dumps({"word": w, "frequency": 3}, ensure_ascii=False)) for i, w in enumerate(forms)]) == {(0, 1), (0, 2)}
+
+
+def test_collision_report(spark):
+    r = spark.createDataFrame([(1, 7, 7, "a"), (2, 7, 7, "b"), (3, 8, 7, "c"), (4, 8, 7, "c")], "id long, h1 long, h2 long, canonical string")
+    assert tuple(fd.collision_report(r).first()) == (4, 2, 1)
+    assert tuple(fd.collision_report(r.where("false")).first()) == (0, 0, 0)
