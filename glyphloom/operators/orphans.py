@@ -24,8 +24,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glyphloom.session import cut_lineage
 from glyphloom.skew import attach_by_key
 
+#: Stands for a null time, which cannot be a join key: before every other.
+_NEVER = "timestamp '0001-01-01'"
+
 
 def fold_key(c: Column) -> Column:
     """Letter case and outer white space (any Unicode white space) disregarded."""
@@ -44,50 +48,46 @@ def orphan_keys(children: DataFrame, parents: DataFrame, child_key: str, parent_
     return c.join(p, "key", "left_anti")
 
 
-def _status_of_pairs(pairs: DataFrame, versions: DataFrame) -> DataFrame:
-    """Status of each distinct (key, at, n) whose key has a parent version.
+_ZERO = "cast(0 as bigint)"
+
 
-    As-of sweep: starts (+1), ends (-1) and questions of a key are put on one
-    time line and summed up.  The time line is cut into months; what earlier
-    months leave over is summed over one row per (key, month), so no task ever
-    holds more than one key's month, however hot the key is.
+def _status_of_pairs(pairs: DataFrame, versions: DataFrame, missing: DataFrame) -> DataFrame:
+    """(key, at, n, status) of the distinct questions (key, at, n) that find no parent in force.
+
+    As-of sweep: starts (+1), ends (-1), the marks of missing keys and the
+    questions are put on one time line per key and summed up.  The line is cut
+    by range of (key, time) into pieces of about equal size, so even a key and
+    period that a third of all rows refer to is spread over tasks; what earlier
+    pieces leave over of a key is carried by at most one row per piece.
     """
-    month = lambda c: F.date_trunc("month", c)
     live = F.col("start").isNotNull() & (F.col("end").isNull() | (F.col("end") > F.col("start")))
-    v = versions.where("start is not null").distinct()
-    marks = v.select(
-        "key",
-        F.explode(
-            F.array(
-                F.struct(F.col("start").alias("at"), F.when(live, 1).otherwise(0).alias("force"), F.lit(1).alias("came")),
-                F.struct(F.col("end").alias("at"), F.when(live & F.col("end").isNotNull(), -1).otherwise(0).alias("force"), F.lit(0).alias("came")),
-            )
-        ).alias("m"),
-    ).select("key", "m.*").where("at is not null and (force <> 0 or came <> 0)")
-    marks = marks.groupBy("key", "at").agg(F.sum("force").alias("force"), F.sum("came").alias("came"))
-    line = marks.select("key", "at", "force", "came", F.lit(0).cast("long").alias("ask")).unionByName(
-        pairs.select("key", "at", F.lit(0).cast("long").alias("force"), F.lit(0).cast("long").alias("came"), F.col("n").alias("ask"))
-    ).withColumn("month", month(F.col("at")))
-    # one row per key and month: what the month adds; carried to later months
-    per_month = line.groupBy("key", "month").agg(F.sum("force").alias("f"), F.sum("came").alias("c"), F.sum("ask").alias("asks"))
-    before = Window.partitionBy("key").orderBy("month").rowsBetween(Window.unboundedPreceding, -1)
-    carry = per_month.select(
-        "key",
-        "month",
-        F.coalesce(F.sum("f").over(before), F.lit(0)).alias("f0"),
-        F.coalesce(F.sum("c").over(before), F.lit(0)).alias("c0"),
-        "asks",
-    ).where("asks > 0 and (f0 <> 0 or c0 <> 0)")
-    within = Window.partitionBy("key", "month").orderBy("at", "ask").rowsBetween(Window.unboundedPreceding, 0)
-    swept = line.select("key", "at", "month", "ask", F.sum("force").over(within).alias("f1"), F.sum("came").over(within).alias("c1")).where("ask > 0")
-    done = swept.join(carry.select("key", "month", "f0", "c0"), ["key", "month"], "left").select(
-        "key",
-        "at",
-        F.col("ask").alias("n"),
-        (F.col("f1") + F.coalesce("f0", F.lit(0))).alias("in_force"),
-        (F.col("c1") + F.coalesce("c0", F.lit(0))).alias("arrived"),
+    mark = lambda at, force, came: F.struct(at.alias("at"), force.cast("long").alias("force"), F.lit(came).cast("long").alias("came"))
+    marks = versions.select(
+        "key", F.inline(F.array(mark(F.col("start"), F.when(live, 1).otherwise(0), 1), mark(F.col("end"), F.when(live & F.col("end").isNotNull(), -1).otherwise(0), 0)))
+    ).where("at is not null and (force <> 0 or came <> 0)")
+    line = (
+        marks.selectExpr("key", "at", "force", "came", f"{_ZERO} as gone", f"{_ZERO} as ask")
+        .unionByName(pairs.selectExpr("key", "at", f"{_ZERO} as force", f"{_ZERO} as came", f"{_ZERO} as gone", "n as ask"))
+        .unionByName(missing.selectExpr("key", f"{_NEVER} as at", f"{_ZERO} as force", f"{_ZERO} as came", "cast(1 as bigint) as gone", f"{_ZERO} as ask"))
+    )
+    sums = [F.sum(c).alias(c) for c in ("force", "came", "gone", "ask")]
+    line = line.groupBy("key", "at").agg(*sums)
+    # kept, so that every reader sees the same pieces
+    line = cut_lineage(line.repartitionByRange("key", "at").withColumn("piece", F.spark_partition_id()))
+    before = Window.partitionBy("key").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    carry = line.groupBy("key", "piece").agg(*sums[:3]).select(F.col("key").alias("_k"), F.col("piece").alias("_p"), *[F.sum(c).over(before).alias(f"_{c}") for c in ("force", "came", "gone")])
+    carry = F.broadcast(carry.where("_force <> 0 or _came <> 0 or _gone <> 0"))  # a key goes on into a piece only as its first: one row per piece
+    within = Window.partitionBy("piece", "key").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    swept = line.select("key", "at", "piece", "ask", *[F.sum(c).over(within).alias(c) for c in ("force", "came", "gone")]).where("ask > 0")
+    done = swept.join(carry, (F.col("piece") == F.col("_p")) & (F.col("key") == F.col("_k")), "left")
+    so_far = lambda c: F.col(c) + F.coalesce(F.col(f"_{c}"), F.lit(0))
+    status = (
+        F.when(so_far("gone") > 0, "missing")
+        .when((F.col("at") == F.expr(_NEVER)) | (so_far("force") > 0), None)
+        .when(so_far("came") > 0, "deleted")
+        .otherwise("later")
     )
-    return done.where("in_force <= 0").select("key", "at", "n", F.when(F.col("arrived") > 0, "deleted").otherwise("later").alias("status"))
+    return done.select("key", "at", F.col("ask").alias("n"), status.alias("status")).where("status is not null")
 
 
 def orphan_references(
@@ -107,16 +107,12 @@ def orphan_references(
     """
     c = children.select(F.col(child_id).alias("child_id"), child_key.alias("key"), F.col(child_at).cast("timestamp").alias("at")).where("key is not null")
     v = parents.select(parent_key.alias("key"), F.col(parent_start).cast("timestamp").alias("start"), F.col(parent_end).cast("timestamp").alias("end")).where("key is not null")
-    c = c.withColumn("at", F.coalesce("at", F.lit("0001-01-01").cast("timestamp")))  # a null time cannot be a join key
-    never = F.lit("0001-01-01").cast("timestamp")
+    c = c.withColumn("at", F.coalesce("at", F.expr(_NEVER)))
     pairs = c.groupBy("key", "at").agg(F.count(F.lit(1)).alias("n"))
-    missing = orphan_keys(pairs, v, "key", "key").withColumn("gone", F.lit(True))
-    known = pairs.join(missing, "key", "left")
-    lost = known.where("gone").select("key", "at", "n", F.lit("missing").alias("status"))
-    timed = known.where((F.col("gone").isNull()) & (F.col("at") != never)).select("key", "at", "n")
-    status = lost.unionByName(_status_of_pairs(timed, v))
+    missing = orphan_keys(pairs, v, "key", "key")
+    status = cut_lineage(_status_of_pairs(pairs, v, missing))  # the orphans only; read twice below
     out = attach_by_key(c, status, ["key", "at"], ["status"], "n", ["child_id"])
-    return out.where("status is not null").select("child_id", "key", F.when(F.col("at") != never, F.col("at")).alias("at"), "status")
+    return out.where("status is not null").select("child_id", "key", F.when(F.col("at") != F.expr(_NEVER), F.col("at")).alias("at"), "status")
 
 
 def orphan_report(orphans: DataFrame, table: str, period: str = "month") -> DataFrame:

@@ -85,3 +85,24 @@ def test_attach_by_key_is_a_left_join(spark, heavy):
     out = attach_by_key(spark.createDataFrame(rows, "id long, k string"), spark.createDataFrame(groups, "k string, n long, v int"), ["k"], ["v"], "n", ["id"], heavy)
     want = {k: v for k, _, v in groups}
     assert sorted((x.id, x.k, x.v) for x in out.collect()) == sorted((i, k, want.get(k)) for i, k in rows)
+
+
+def test_a_hot_key_within_one_hour_is_spread(spark):
+    """Thousands of questions of one key within an hour fall into several pieces; the answers stay right."""
+    import datetime as dt
+    import random
+
+    r = random.Random(4)
+    t0 = dt.datetime(2024, 5, 1)
+    at = lambda s: t0 + dt.timedelta(seconds=s)
+    spans = sorted(r.sample(range(3600), 20))
+    versions = [("hot", at(a), at(b)) for a, b in zip(spans[::2], spans[1::2])] + [("cold", at(100), None)]
+    asks = [(i, "hot", at(r.randrange(3600))) for i in range(4000)] + [(5000, "cold", at(50)), (5001, "cold", at(150)), (5002, "none", at(1)), (5003, "none", None), (5004, "hot", None), (5005, None, at(1))]
+    children = spark.createDataFrame(asks, "id long, k string, at timestamp")
+    parents = spark.createDataFrame(versions, "k string, s timestamp, e timestamp")
+    got = {x.child_id: x.status for x in orphan_references(children, parents, "id", F.col("k"), "at", F.col("k"), "s", "e").collect()}
+    want = {5000: "later", 5002: "missing", 5003: "missing"}
+    for i, k, t in asks[:4000]:
+        if not any(a <= t < b for _, a, b in versions[:-1]):
+            want[i] = "deleted" if any(a <= t for _, a, _ in versions[:-1]) else "later"
+    assert got == want
