@@ -63,6 +63,12 @@ _RUN = re.compile(r"(.)\1+")
 _RUNS = re.compile(r"(.)\1*")
 
 
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    """Distinct whole numbers in order; by sorting, as numpy's own way hashes them one by one."""
+    keys = np.sort(keys, kind="stable")
+    return keys[np.r_[True, keys[1:] != keys[:-1]]] if len(keys) else keys
+
+
 def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Code points of all words, each between two sentinels, and the word each is of."""
     codes = np.frombuffer("".join(f"\x02{w}\x03" for w in words).encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
@@ -75,7 +81,7 @@ def _grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     if not len(codes):
         return owner, codes
     inside = owner[:-1] == owner[1:]
-    key = np.unique((owner[:-1][inside] << 42) | (codes[:-1][inside] << 21) | codes[1:][inside])
+    key = _distinct((owner[:-1][inside] << 42) | (codes[:-1][inside] << 21) | codes[1:][inside])
     return key >> 42, key & ((1 << 42) - 1)
 
 
@@ -91,6 +97,15 @@ def variants(word: str, slips: int) -> set[str]:
     return {"".join(word[i] for i in range(n) if i not in out) for k in range(min(slips, n) + 1) for out in combinations(range(n), k)}
 
 
+def _signs(words: list[str]) -> np.ndarray:
+    """Which characters a word has, by a small hash: one bit each."""
+    codes, owner = _codes(words)
+    out = np.zeros(len(words), np.uint64)
+    if len(codes):  # every word has its sentinels, so every word has a segment
+        out[:] = np.bitwise_or.reduceat(np.uint64(1) << (codes.astype(np.uint64) & np.uint64(63)), np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]))
+    return out
+
+
 class GramIndex:
     """Inverted index of the entries' bigrams, with idf weights and each entry's threshold."""
 
@@ -102,11 +117,14 @@ class GramIndex:
         self.exact = set(self.texts)
         self.words = [e[2] for e in entries]
         self.length = np.array([len(w) for w in self.words], dtype=np.int64)
-        self.bag = _bags(self.words)
+        self.bag, self.sign = _bags(self.words), _signs(self.words)
         squeezed = [_RUN.sub(r"\1", w) for w in self.words]
         self.squeezed_id = {w: k for k, w in enumerate(dict.fromkeys(squeezed))}
         self.squeezed = np.array([self.squeezed_id[w] for w in squeezed], dtype=np.int64)
-        self.begins = {w[:k] for w in self.words for k in range(min_prefix, len(w))}
+        self.begins: dict[str, list[int]] = {}
+        for e, w in enumerate(self.words):
+            for k in range(min_prefix, len(w)):
+                self.begins.setdefault(w[:k], []).append(e)
         self.short: dict[str, list[int]] = {}
         for k, w in enumerate(self.words):
             if len(w) < PER_SLIP * slips:
@@ -161,7 +179,7 @@ class GramIndex:
             hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + CELLS, side="right")))
             s = size[lo:hi]
             spot = np.arange(s.sum()) + np.repeat(self.first[at[lo:hi]] - (np.cumsum(s) - s), s)
-            keys.append(np.unique(np.repeat(owner[lo:hi] * m, s) + self.post[spot]))
+            keys.append(_distinct(np.repeat(owner[lo:hi] * m, s) + self.post[spot]))
             lo = hi
         if self.short:
             least = PER_SLIP * self.slips + self.slips
@@ -169,7 +187,7 @@ class GramIndex:
             keys.append(np.array(more, dtype=np.int64))
         key = np.concatenate(keys)
         if len(keys) > 2:
-            key = np.unique(key)
+            key = _distinct(key)
         return key // m, key % m
 
     def _look(self, values: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -238,15 +256,21 @@ def look_up(index: GramIndex, raw: list[str], folded: list[str]) -> list[tuple]:
     if not len(i):
         return []
     # pairs that the exact check would reject anyhow, in whole arrays
-    bags, length = _bags(folded), np.array([len(v) for v in folded])
+    m = len(index.words)
+    length, sign = np.array([len(v) for v in folded]), _signs(folded)
     squeezed = np.array([index.squeezed_id.get(_RUN.sub(r"\1", v), -1) for v in folded])
-    closed = np.array([_closed(r, f, min_prefix) and f in index.begins for r, f in zip(raw, folded)])
+    closed = np.array([k * m + e for k, (r, f) in enumerate(zip(raw, folded)) if _closed(r, f, min_prefix) for e in index.begins.get(f, ())], dtype=np.int64)
+    look = (squeezed[i] == index.squeezed[j]) & (length[i] > index.length[j])
+    if len(closed):
+        look |= np.isin(i * m + j, closed)
     near = np.abs(length[i] - index.length[j]) <= slips
-    gap = bags[i[near]] - index.bag[j[near]]
+    a, b = sign[i], index.sign[j]
+    near &= (np.bitwise_count(a & ~b) <= slips) & (np.bitwise_count(b & ~a) <= slips)
+    near = np.flatnonzero(near)
+    gap = _bags(folded)[i[near]] - index.bag[j[near]]
     more = gap.sum(1, dtype=np.int64)
     apart = np.abs(gap).sum(1, dtype=np.int64)
-    near[near] = (apart + np.abs(more)) // 2 <= slips  # the larger of what is too much and what is missing
-    look = near | (squeezed[i] == index.squeezed[j]) | closed[i]
+    look[near[(apart + np.abs(more)) // 2 <= slips]] = True  # the larger of what is too much and what is missing
     i, j = i[look], j[look]
     cos = index.cosines(folded, i, j)
     good = cos >= index.floor[j]
