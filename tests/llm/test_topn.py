@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from glyphloom.llm import topn
@@ -42,3 +43,24 @@ def test_hot_group_and_many_ties_against_brute_force(spark):
 def test_all_equal_scores(spark):
     rows = [("g", f"w{i:04}", 10, 1) for i in range(1000)] * 2
     assert run(spark, rows) == [("g", 1, "w0000"), ("g", 2, "w0001"), ("g", 3, "w0002")]
+
+
+@pytest.mark.parametrize("n", [1, 3, 9, 40, 1200])
+def test_any_n_on_a_hot_group(spark, monkeypatch, n):
+    """Limits by column, by row, and beyond Spark's own cut; groups that share a slot; ties by the thousand."""
+    monkeypatch.setattr(topn, "SLOTS", 4)
+    r = random.Random(n)
+    rows = [("hot", f"w{r.randrange(2500)}", r.choice([5, 10, 20]), r.choice([None, 0, 3, 900])) for _ in range(9000)]
+    rows += [(f"g{r.randrange(30)}", f"w{r.randrange(40)}", r.choice([5, 10]), r.randrange(9)) for _ in range(600)]
+    df = spark.createDataFrame(rows, "g string, i string, d int, f long")
+    top = (1 << 63) - 1
+    coarse = F.col("s0") * 66 + topn.log2_bin(F.when(F.col("s1") != top, -F.col("s1")))
+    got = topn.top_n(df, "g", "i", [F.col("d").cast("long"), F.coalesce(-F.col("f"), F.lit(top))], coarse, n)
+    best = {}
+    for g, i, d, f in rows:
+        s = (d, top if f is None else -f)
+        best[g, i] = min(best.get((g, i), s), s)
+    want = []
+    for g in {g for g, _ in best}:
+        want += [(g, i, k + 1) for k, (_, i) in enumerate(sorted((s, i) for (h, i), s in best.items() if h == g)[:n])]
+    assert sorted((x.g, x.i, x.rank) for x in got.collect()) == sorted(want)
