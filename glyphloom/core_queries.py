@@ -29,6 +29,12 @@ def _tokens(spark, d):
     return tokenize.tokenize(_documents(spark, d), "doc_id", "text")
 
 
+def _labelled(spark, d, label=None):
+    """Tokens with their document's label, carried along."""
+    docs = _documents(spark, d)
+    return tokenize.tokenize(docs if label is None else docs.withColumn("lang", label), "doc_id", "text", keep=["lang"])
+
+
 def _dictionary(spark, d):
     words = read_table(spark, d, "dictionary").where("lang is not null and trim(word) <> ''")
     return resources.build_dictionary(words, "lang", "word", "freq", ["entry_id"])
@@ -133,8 +139,7 @@ def overlap_pairs(spark, d):
 
 # ---------------------------------------------------------------- resources
 def vocab_freq(spark, d):
-    t = _tokens(spark, d).join(_documents(spark, d).select("doc_id", "lang"), "doc_id")
-    return resources.corpus_dictionary(t, "lang", "token")
+    return resources.corpus_dictionary(_labelled(spark, d), "lang", "token")
 
 
 def dict_build(spark, d):
@@ -147,7 +152,7 @@ def dictionary_stats(spark, d):
 
 
 def top_stopwords(spark, d):
-    t = _tokens(spark, d).join(_documents(spark, d).select("doc_id", F.lower(F.substring("lang", 1, 2)).alias("lang")), "doc_id")
+    t = _labelled(spark, d, F.lower(F.substring("lang", 1, 2)))
     return resources.corpus_stopwords(resources.corpus_dictionary(t, "lang", "token"), 25)
 
 
@@ -198,7 +203,7 @@ def known_typos(spark, d):
 
 
 def stopword_hits(spark, d):
-    t = _tokens(spark, d).join(_documents(spark, d).select("doc_id", F.lower(F.substring("lang", 1, 2)).alias("lang")), "doc_id")
+    t = _labelled(spark, d, F.lower(F.substring("lang", 1, 2)))
     hits = lookup.is_stopword(t.select("doc_id", "lang", F.col("token").alias("word")), read_table(spark, d, "stopwords"))
     return hits.groupBy("doc_id").agg(F.count(F.lit(1)).alias("stopwords"))
 
@@ -226,9 +231,8 @@ def correct_words(spark, d):
 
 
 def static_corrections(spark, d):
-    """Decisions that need no fuzzy search: by error map, or none because valid or protected."""
-    w = correct.correct_words(_typed(spark, d), _resources(spark, d))
-    return w.where("source = 'UserKnown'").select("lang", "word", "corrected")
+    """What the error map alone corrects; the fuzzy search is not run."""
+    return correct.map_corrections(_typed(spark, d), _resources(spark, d))
 
 
 def correct_text(spark, d):
@@ -293,8 +297,28 @@ def web_results(spark, d):
     return r.select("doc_id", "pos", pipeline.result_json().alias("result"))
 
 
+def _typing(spark, d):
+    """Key events of the words of token_result typed into their documents, in a new window after every five words."""
+    t = read_table(spark, d, "token_result").where("original is not null and doc_id is not null and pos is not null").select("doc_id", "pos", "original").distinct()
+    e = t.select("doc_id", "pos", F.posexplode(F.split(F.concat("original", F.lit(" ")), "")).alias("i", "ch")).where("ch <> ''")
+    order = F.col("pos").cast("long") * 100_000 + F.col("i")
+    return e.select("doc_id", order.alias("seq"), (F.expr("pos div 5") + 1).alias("window"), F.lit("Char").alias("kind"), "ch", F.lit(None).cast("string").alias("key"))
+
+
 def edit_script(spark, d):
-    return keystrokes.edit_script(keystrokes.typed_tokens(_events(spark, d)), _resources(spark, d), "en")
+    tokens = keystrokes.typed_tokens(_typing(spark, d), "doc_id", window="window")
+    return keystrokes.edit_script(tokens, _resources(spark, d), "en", "doc_id").drop("token_no")
+
+
+def _shared_devices(spark, d):
+    """Key events as of devices that hold many windows each, in order of arrival."""
+    return _events(spark, d).where("window_id is not null").withColumn("device", F.pmod("window_id", F.lit(97)))
+
+
+def typed_focus(spark, d):
+    """Typed tokens where moving to another window empties a device's buffer."""
+    t = keystrokes.typed_tokens(_shared_devices(spark, d), "device", "event_id", window="window_id")
+    return t.select("device", "token", "last_order", "delimiter", "applied")
 
 
 def focus_sessions(spark, d):
@@ -309,14 +333,19 @@ def keymap(spark, d):
     return out
 
 
-def _stream(spark, d, res):
+def _stream(spark, d, res, device="window_id", order="seq"):
     schema = _events(spark, d).schema
     folder = f"{checkpoint_path(spark)}/stream-{uuid.uuid4().hex}"
-    events = spark.readStream.schema(schema).parquet(f"{d}/key_events.parquet*")
-    tokens = streaming.stream_tokens(events.where("window_id is not null"), "window_id", res, "en")
+    events = spark.readStream.schema(schema).parquet(f"{d}/key_events.parquet*").where("window_id is not null").withColumn("device", F.pmod("window_id", F.lit(97)))
+    tokens = streaming.stream_tokens(events, device, res, "en", order)
     q = tokens.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.parquet(f"{folder}/out").withColumnsRenamed({"device": "window_id", "ord": "last_order"})
+    return spark.read.parquet(f"{folder}/out").withColumnsRenamed({"device": device, "ord": "last_order"})
+
+
+def stream_focus(spark, d):
+    """``typed_focus`` by the stateful streaming operator."""
+    return _stream(spark, d, None, "device", "event_id").select("device", "token", "last_order", "delimiter", "applied")
 
 
 def stream_tokens(spark, d):
@@ -360,7 +389,7 @@ QUERIES = {
         fuzzy_candidates, fuzzy_topk, suggestions, correct_words, static_corrections, correct_text,
         rolling_window_words, language_priors, lang_scores, lang_switch_strong, lang_switch_full,
         pipeline_results, pipeline_events, pipeline_json, web_results,
-        typed_tokens, edit_script, focus_sessions, keymap, stream_tokens, stream_languages,
+        typed_tokens, typed_focus, edit_script, focus_sessions, keymap, stream_tokens, stream_focus, stream_languages,
         p6_found, p6_counts, p6_missing_keys,
     )
 }

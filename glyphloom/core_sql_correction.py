@@ -4,7 +4,7 @@ The weighted distance is a recursive query over the rows of the distance table
 (all pairs at once), detection jumps from one change of language to the next.
 """
 
-from glyphloom.core_sql import _DICT, _EDGE, _ENC, _ERR, _EVIDENCE, _LANGS, _STRIP, _TOKENS, _TYPED, _bounded, _windows
+from glyphloom.core_sql import _DELIM, _DICT, _EDGE, _ENC, _ERR, _EVIDENCE, _LANGS, _STRIP, _TOKENS, _TYPED, _bounded, _windows
 
 # Neighbouring keys, as in functions.distance.
 _KEYS = "qw we er rt ty yu ui io op as sd df fg gh hj jk kl zx xc cv vb bn nm qa ws ed rf tg yh uj ik ol az sx dc fv gb hn jm wa es rd tf yg uh ij ok pl sz dx fc gv hb jn km"
@@ -134,7 +134,26 @@ res AS (SELECT * FROM {tail})
 _JSON = "to_json({'original': original, 'corrected': corrected, 'detected_language': CASE WHEN code IS NOT NULL THEN {'code': code, 'confidence': confidence} END})::VARCHAR"
 _PAIRS = "pairs AS (SELECT DISTINCT lower(original) AS a, lower(corrected) AS b FROM token_result WHERE original IS NOT NULL AND corrected IS NOT NULL)"
 
+_FOCUS = f"""
+WITH k AS (SELECT window_id % 97 AS device, event_id AS ord, window_id AS win, kind, ch, regexp_replace(lower(key), '[^\\p{{L}}]', '', 'g') AS key FROM key_events WHERE window_id IS NOT NULL),
+     m AS (SELECT device, ord, ch, coalesce(lag(win) OVER w <> 0 AND lag(win) OVER w <> win, false) AS moved,
+                  CASE WHEN kind = 'Char' AND ch IS NOT NULL THEN CASE WHEN regexp_full_match(ch, '{_DELIM}') THEN 'end' ELSE 'char' END
+                       WHEN kind = 'Special' AND key IN ('enter', 'tab', 'escape') THEN 'key' WHEN kind = 'Special' AND key = 'backspace' THEN 'clear' END AS what FROM k WINDOW w AS (PARTITION BY device ORDER BY ord)),
+     n AS (SELECT *, count(*) FILTER (moved) OVER (PARTITION BY device ORDER BY ord) AS moves, count(*) FILTER (what <> 'char') OVER (PARTITION BY device ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ended FROM m),
+     g AS (SELECT device, coalesce(string_agg(ch, '' ORDER BY ord) FILTER (what = 'char'), '') AS token, max(ord) AS last_order,
+                  CASE max(what) FILTER (what <> 'char') WHEN 'end' THEN max(ch) FILTER (what = 'end') ELSE ' ' END AS delimiter, max(what) FILTER (what <> 'char') AS how FROM n WHERE what IS NOT NULL GROUP BY device, moves, ended)
+SELECT device, {_bounded('token')} AS token, last_order, delimiter, how = 'end' AS applied FROM g WHERE how IN ('end', 'key')
+"""
+
 SQL = {
+    "typed_focus": _FOCUS,
+    "stream_focus": _FOCUS,
+    "edit_script": f"""WITH RECURSIVE {_DICT}, {_ERR}, o AS (SELECT DISTINCT doc_id, pos, original FROM token_result WHERE original IS NOT NULL AND doc_id IS NOT NULL AND pos IS NOT NULL),
+        x AS (SELECT *, regexp_split_to_array(original, '{_DELIM}') AS cut, lead(pos // 5) OVER (PARTITION BY doc_id ORDER BY pos) <> pos // 5 AS leaves FROM o),
+        y AS (SELECT doc_id, pos, original, leaves, len(cut) AS n, generate_subscripts(cut, 1) AS i, unnest(cut) AS raw, list_sum([length(z) + 1 FOR z IN cut[1:i]])::BIGINT - 1 AS spot FROM x),
+        t AS (SELECT doc_id, pos::BIGINT * 100000 + spot AS last_order, {_bounded('raw')} AS token, substr(original || ' ', spot + 1, 1) AS delimiter FROM y WHERE NOT (i = n AND coalesce(leaves, false))),
+        w AS (SELECT DISTINCT 'en' AS lang, token AS word FROM t), {corrected('w', 'cc')}
+        SELECT doc_id, last_order, (length(token) + 1)::INT AS backspaces, corrected || delimiter AS insert_text FROM t JOIN cc ON token = word WHERE corrected IS NOT NULL""",
     "damerau_pairs": f"WITH {_PAIRS} SELECT a, b, least({letter_wise('damerau_levenshtein', 'a', 'b')}, 3)::INT AS distance FROM pairs",
     "keyboard_pairs": f"""WITH RECURSIVE {_PAIRS}, pn AS (SELECT a, b FROM pairs WHERE a <> '' AND b <> '' AND abs(length(a) - length(b)) <= 2), {weighted('pn', 'wd')}
         SELECT a, b, least(21, CASE WHEN a = '' OR b = '' THEN 10 * (length(a) + length(b)) ELSE coalesce(w, 21) END)::INT AS distance FROM pairs LEFT JOIN wd USING (a, b)""",

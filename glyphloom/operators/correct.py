@@ -6,7 +6,7 @@ first and only what they leave over enters the similarity join.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphloom.config import CorrectionConfig
@@ -21,6 +21,31 @@ from glyphloom.sources.resources import Resources
 CANDIDATES = "array<struct<word:string,distance:int,frequency:bigint,source:string>>"
 
 
+def _with_hits(words: DataFrame, resources: Resources, config: CorrectionConfig) -> DataFrame:
+    """(lang, word, e, norm, hit): edge parts, what is looked up, and the error map's correction of it."""
+    base = words.select("lang", "word").where("word is not null").withColumn("e", edge_parts(F.col("word")))
+    core = F.col("e.core")
+    norm = core if config.case_sensitive else F.lower(core)
+    base = base.withColumn("norm", F.when((F.length("word") >= config.min_word_length) & (core != ""), norm))
+    e = resources.errors.select(F.col("lang").alias("_l"), F.col("typo").alias("_t"), F.col("correction").alias("hit"))
+    return base.join(e, (F.col("lang") == F.col("_l")) & (F.lower("norm") == F.col("_t")), "left").drop("_l", "_t")
+
+
+def _by_map(config: CorrectionConfig) -> Column:
+    """The error map decides: it has the word, with more than accents to change (unless enforced)."""
+    accents_only = strip_accents(F.col("norm")) == strip_accents(F.col("hit"))
+    return F.col("hit").isNotNull() if config.enforce_accents else F.col("hit").isNotNull() & ~F.coalesce(accents_only, F.lit(False))
+
+
+def _affixed(x: Column) -> Column:
+    return F.concat(F.col("e.prefix"), x, F.col("e.suffix"))
+
+
+def map_corrections(words: DataFrame, resources: Resources, config: CorrectionConfig = CorrectionConfig()) -> DataFrame:
+    """(lang, word, corrected): the words that the error map alone corrects; no dictionary is read."""
+    return _with_hits(words, resources, config).where(_by_map(config)).select("lang", "word", _affixed(F.col("hit")).alias("corrected"))
+
+
 def correct_words(words: DataFrame, resources: Resources, config: CorrectionConfig = CorrectionConfig()) -> DataFrame:
     """(lang, word, corrected, source, candidates) for distinct (lang, word).
 
@@ -29,12 +54,7 @@ def correct_words(words: DataFrame, resources: Resources, config: CorrectionConf
     error map -> its correction, not re-cased; in any dictionary -> none; best
     fuzzy candidate, re-cased; else none.  ``source``: UserKnown, Dictionary, None.
     """
-    base = words.select("lang", "word").where("word is not null").withColumn("e", edge_parts(F.col("word")))
-    core = F.col("e.core")
-    norm = core if config.case_sensitive else F.lower(core)
-    base = base.withColumn("norm", F.when((F.length("word") >= config.min_word_length) & (core != ""), norm))
-    e = resources.errors.select(F.col("lang").alias("_l"), F.col("typo").alias("_t"), F.col("correction").alias("hit"))
-    looked = base.join(e, (F.col("lang") == F.col("_l")) & (F.lower("norm") == F.col("_t")), "left").drop("_l", "_t")
+    looked = _with_hits(words, resources, config)
     known = resources.dictionary.select(F.col("word_enc").alias("_e")).distinct().withColumn("valid", F.lit(True))
     looked = looked.join(known, encode_accents(F.col("norm")) == F.col("_e"), "left").drop("_e")
     open_ = looked.where("norm is not null and hit is null and valid is null").select("lang", F.col("norm").alias("word")).distinct()
@@ -43,10 +63,7 @@ def correct_words(words: DataFrame, resources: Resources, config: CorrectionConf
         F.sort_array(F.collect_list(F.struct("rank", F.col("candidate").alias("word"), "distance", "frequency"))).alias("f")
     )
     joined = looked.join(best, (F.col("lang") == F.col("_l")) & (F.col("norm") == F.col("_n")) & F.col("hit").isNull() & F.col("valid").isNull(), "left")
-    affix = lambda x: F.concat(F.col("e.prefix"), x, F.col("e.suffix"))
-    accents_only = strip_accents(F.col("norm")) == strip_accents(F.col("hit"))
-    blocked = accents_only if not config.enforce_accents else F.lit(False)
-    by_map = F.col("hit").isNotNull() & ~F.coalesce(blocked, F.lit(False))
+    affix, by_map, core = _affixed, _by_map(config), F.col("e.core")
     by_dict = F.col("hit").isNull() & F.col("f").isNotNull()
     top = affix(F.get("f", F.lit(0))["word"])
     recased = F.when(is_all_upper(core), F.upper(top)).when(core.rlike(r"^\p{Lu}"), titlecase(top)).otherwise(top)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,19 +31,42 @@ def pieces(text: Column) -> Column:
     return F.transform(_cut(text), lambda x: x["token"])
 
 
-def tokenize(docs: DataFrame, id_col: str, text: str, limit: int | None = 64, keep_empty: bool = True) -> DataFrame:
-    """(id, pos, token, pending): one row per token, in order from 0.
+def tokenize(docs: DataFrame, id_col: str, text: str, limit: int | None = 64, keep_empty: bool = True, keep: Sequence[str] = ()) -> DataFrame:
+    """(id, kept columns, pos, token, pending): one row per token, in order from 0.
 
     Two delimiters in a row give an empty token unless ``keep_empty`` is off.
     ``pending`` marks what is left after the last delimiter.  No shuffle.
     """
-    t = docs.where(F.col(text).isNotNull()).select(F.col(id_col).alias("doc_id"), F.posexplode(_cut(F.col(text))).alias("pos", "t"))
-    t = t.select("doc_id", "pos", "t.token", "t.pending")
+    t = docs.where(F.col(text).isNotNull()).select(F.col(id_col).alias("doc_id"), *keep, F.posexplode(_cut(F.col(text))).alias("pos", "t"))
+    t = t.select("doc_id", *keep, "pos", "t.token", "t.pending")
     if not keep_empty:
         t = t.where("token <> ''")
     return t.withColumn("token", bounded_token(F.col("token"), limit)) if limit else t
 
 
+def tokenize_in_segments(docs: DataFrame, id_col: str, text: str, changes: str, initial: str, fixed: bool, limit: int = 64) -> DataFrame:
+    """``tokenize`` plus ``lang`` and ``detected_language``, by the changes of language that each row carries.
+
+    ``changes``: ARRAY<STRUCT<pos, code, confidence>> in order of pos, or null.
+    A change at a token is that token's detection and counts from the next one
+    on (never if ``fixed``).  Tokens are cut segment by segment, so nothing is
+    looked up per token and nothing is shuffled.
+    """
+    none = F.lit(None).cast("struct<code:string,confidence:double>")
+    start = F.col("_start")
+    at = F.coalesce(F.col(changes), F.array().cast("array<struct<pos:int,code:string,confidence:double>>"))
+    begun = F.concat(F.array(F.struct(F.lit(-1).alias("pos"), F.lit(initial).alias("code"), F.lit(None).cast("double").alias("confidence"))), at)
+    d = docs.where(F.col(text).isNotNull()).select(F.col(id_col).alias("doc_id"), begun.alias("_at"), _cut(F.col(text)).alias("_cut"))
+    end = lambda i: F.coalesce(F.get(F.col("_at"), i + 1)["pos"] + 1, F.size("_cut"))
+    segment = lambda x, i: F.struct(
+        (x["pos"] + 1).alias("_start"), (F.lit(initial) if fixed else x["code"]).alias("lang"), F.get(F.col("_at"), i + 1).alias("_next"), F.slice("_cut", x["pos"] + 2, F.greatest(end(i) - x["pos"] - 1, F.lit(0))).alias("_tokens")
+    )
+    t = d.select("doc_id", F.inline(F.transform("_at", segment))).select("doc_id", "lang", "_start", "_next", F.posexplode("_tokens").alias("_i", "t"))
+    pos = start + F.col("_i")
+    found = F.when(pos == F.col("_next.pos"), F.struct(F.col("_next.code").alias("code"), F.col("_next.confidence").alias("confidence"))).otherwise(none)
+    return t.select("doc_id", pos.alias("pos"), bounded_token(F.col("t.token"), limit).alias("token"), F.col("t.pending").alias("pending"), "lang", found.alias("detected_language"))
+
+
 def paste_tokens(text: Column) -> Column:
     """All non-empty tokens of a pasted text, the remainder included."""
     return F.filter(F.split(text, DELIMITER, -1), lambda x: x != "")

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from glyphloom.config import Config
 from glyphloom.operators.correct import correct_tokens, suggestions
-from glyphloom.operators.detect import detect, language_at
-from glyphloom.operators.tokenize import tokenize
+from glyphloom.operators.detect import detect
+from glyphloom.operators.tokenize import tokenize, tokenize_in_segments
 from glyphloom.session import cut_lineage
 from glyphloom.sources.resources import Resources
 
@@ -21,15 +21,16 @@ def process_texts(docs: DataFrame, resources: Resources, initial: str, id_col: s
     first suggestion for it instead.  Texts do not influence each other.
     """
     p = config.pipeline
-    tokens = tokenize(docs, id_col, text, p.max_token_chars)
-    ended = tokens.where(~F.col("pending"))
-    found = detect(ended, resources.stopwords, resources.dictionary, resources.languages(), initial, config.detector) if p.detect_language else None
-    if found is None:
-        located = tokens.withColumn("lang", F.lit(initial)).withColumn("detected_language", F.lit(None).cast("struct<code:string,confidence:double>"))
+    if p.detect_language:
+        ended = tokenize(docs, id_col, text, p.max_token_chars).where(~F.col("pending"))
+        found = detect(ended, resources.stopwords, resources.dictionary, resources.languages(), initial, config.detector)
+        change = F.struct("pos", F.col("language").alias("code"), "confidence")
+        per_doc = found.groupBy(F.col("doc_id").alias("_doc")).agg(F.array_sort(F.collect_list(change)).alias("_changes"))
+        per_doc = cut_lineage(per_doc)  # few rows, read by several jobs; tokens are cheaper to cut again than to keep
+        docs = docs.join(per_doc, F.col(id_col) == F.col("_doc"), "left")
     else:
-        d = found.select("doc_id", "pos", F.struct(F.col("language").alias("code"), "confidence").alias("detected_language"))
-        d = cut_lineage(d)  # few rows, read by several jobs; tokens are cheaper to cut again than to keep
-        located = language_at(tokens.join(d, ["doc_id", "pos"], "left"), initial, p.language_mode)
+        docs = docs.withColumn("_changes", F.lit(None).cast("array<struct<pos:int,code:string,confidence:double>>"))
+    located = tokenize_in_segments(docs, id_col, text, "_changes", initial, p.language_mode == "fixed", p.max_token_chars)
     done = correct_tokens(located, resources, config.correction)
     if remainder == "suggest":
         last = done.where("pending").select("lang", F.col("token").alias("word")).distinct()
