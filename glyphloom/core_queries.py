@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
-from glyphloom import core_sql, core_sql_correction
+from glyphloom import core_sql, core_sql_correction, resource_queries
 from glyphloom.config import Config, CorrectionConfig, DetectorConfig, PipelineConfig
 from glyphloom.functions import chars, distance, locale
 from glyphloom.operators import correct, detect, feedback, lookup, similarity, tokenize
 from glyphloom.operators.orphans import fold_key, orphan_keys, orphan_references, orphan_report
 from glyphloom.plans import keystrokes, pipeline
-from glyphloom.session import checkpoint_path, read_table
-from glyphloom.sources import keyevents, resources
+from glyphloom.session import read_table, working_folder
+from glyphloom.sources import resources
 from glyphloom.streaming import keystrokes as streaming
 
 LANGS = ["en", "es", "pt"]
@@ -326,16 +324,9 @@ def focus_sessions(spark, d):
     return keystrokes.focus_sessions(e, "user_id", "event_type", "ts", "event_id").select("event_id", "user_id", "session")
 
 
-def keymap(spark, d):
-    out = keyevents.keymap(spark, "windows")
-    for p in ("linux", "macos"):
-        out = out.unionByName(keyevents.keymap(spark, p))
-    return out
-
-
 def _stream(spark, d, res, device="window_id", order="seq"):
     schema = _events(spark, d).schema
-    folder = f"{checkpoint_path(spark)}/stream-{uuid.uuid4().hex}"
+    folder = working_folder(spark)
     events = spark.readStream.schema(schema).parquet(f"{d}/key_events.parquet*").where("window_id is not null").withColumn("device", F.pmod("window_id", F.lit(97)))
     tokens = streaming.stream_tokens(events, device, res, "en", order)
     q = tokens.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
@@ -389,9 +380,9 @@ QUERIES = {
         fuzzy_candidates, fuzzy_topk, suggestions, correct_words, static_corrections, correct_text,
         rolling_window_words, language_priors, lang_scores, lang_switch_strong, lang_switch_full,
         pipeline_results, pipeline_events, pipeline_json, web_results,
-        typed_tokens, typed_focus, edit_script, focus_sessions, keymap, stream_tokens, stream_focus, stream_languages,
+        typed_tokens, typed_focus, edit_script, focus_sessions, stream_tokens, stream_focus, stream_languages,
         p6_found, p6_counts, p6_missing_keys,
     )
-}
+} | resource_queries.QUERIES
 
-SQL = core_sql.SQL | core_sql_correction.SQL
+SQL = core_sql.SQL | core_sql_correction.SQL | resource_queries.SQL

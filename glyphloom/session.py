@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,3 +59,8 @@ def checkpoint_path(spark: SparkSession) -> str:
     """The shared folder for intermediate tables."""
     _ensure_checkpoint_dir(spark)
     return spark.sparkContext.getCheckpointDir()
+
+
+def working_folder(spark: SparkSession) -> str:
+    """A new folder for files of this session, in the shared folder."""
+    return f"{checkpoint_path(spark)}/files-{uuid.uuid4().hex}"
