@@ -233,7 +233,8 @@ def unifier(counts: dict[str, int], table: Iterable[tuple[str, str]] | None = No
         for s in batches:
             yield s.map(rewrite, na_action="ignore")
 
-    return form
+    # so marked, a filter on the form is not pushed below it, which would rewrite every text once more
+    return form.asNondeterministic()
 
 
 def _alike(rows: DataFrame, id_col: str, scope: list[str], key: str, raw: str) -> DataFrame:
