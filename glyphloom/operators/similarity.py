@@ -7,6 +7,7 @@ deletions).  Longer words meet over thirds: of three pieces of the dictionary
 word one is untouched by two edits and stands in the query word at most two
 places off.  Both are complete; built-in ``levenshtein`` with a threshold
 verifies, and only survivors reach the Arrow UDF of the weighted distance.
+Larger distances are searched over more pieces in the same way.
 """
 
 from __future__ import annotations
@@ -60,15 +61,33 @@ def _by_thirds(words: DataFrame, dictionary: DataFrame) -> DataFrame:
     return q.join(d, ["lang", "m", "k", "piece"]).select("lang", "word_q", "word_enc")
 
 
+def _by_pieces(words: DataFrame, dictionary: DataFrame, threshold: int) -> DataFrame:
+    """Candidates for any threshold: of ``threshold + 1`` pieces of the dictionary word one is untouched.
+
+    A piece that stands s places off, in words whose lengths differ by l, takes
+    at least |s| edits before it and |l - s| behind it, so only few places are
+    tried.  Words shorter than the number of pieces have empty ones, which meet
+    every word of a fitting length: such words are few.
+    """
+    k = threshold + 1
+    cut = lambda m, i: F.floor(m * i / k).cast("int")
+    pieces = F.array(*[F.struct(F.lit(i).alias("k"), F.col("word_enc").substr(cut(F.col("m"), i) + 1, cut(F.col("m"), i + 1) - cut(F.col("m"), i)).alias("piece")) for i in range(k)])
+    d = dictionary.select("lang", "word_enc", F.length("word_enc").alias("m")).select("lang", "word_enc", "m", F.inline(pieces))
+    q = words.select("lang", "word_q", F.length("word_q").alias("n"), F.explode(F.sequence(F.length("word_q") - threshold, F.length("word_q") + threshold)).alias("m")).where("m >= 0")
+    m, off = F.col("m"), F.col("n") - F.col("m")
+    places = F.array(*[F.struct(F.lit(i).alias("k"), F.lit(s).alias("s"), (cut(m, i) + 1 + F.lit(s)).alias("at"), (cut(m, i + 1) - cut(m, i)).alias("len")) for i in range(k) for s in range(-threshold, threshold + 1)])
+    q = q.select("lang", "word_q", "m", F.explode(F.filter(places, lambda x: (x["at"] >= 1) & (F.abs(x["s"]) + F.abs(off - x["s"]) <= threshold))).alias("p"))
+    q = q.select("lang", "word_q", "m", "p.k", F.col("word_q").substr(F.col("p.at"), F.col("p.len")).alias("piece"))
+    return q.join(d, ["lang", "m", "k", "piece"]).select("lang", "word_q", "word_enc")
+
+
 def candidates(words: DataFrame, dictionary: DataFrame, threshold: int = 2) -> DataFrame:
-    """(lang, word_q, word_enc) with Levenshtein distance at most ``threshold`` (up to 2).
+    """(lang, word_q, word_enc) with Levenshtein distance at most ``threshold``.
 
     ``words``: (lang, word_q) distinct, accents encoded.
     """
-    if threshold > 2:
-        raise ValueError("the candidate search is complete up to distance 2")
     d = dictionary.select("lang", "word_enc").distinct()
-    pairs = _by_deletions(words, d).unionByName(_by_thirds(words, d))
+    pairs = _by_deletions(words, d).unionByName(_by_thirds(words, d)) if threshold <= 2 else _by_pieces(words, d, threshold)
     near = (F.abs(F.length("word_q") - F.length("word_enc")) <= threshold) & (F.levenshtein("word_q", "word_enc", threshold) >= 0)
     return pairs.where(near).distinct()
 

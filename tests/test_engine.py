@@ -302,3 +302,15 @@ def test_config(tmp_path):
             Config.from_dict(bad)
     with pytest.warns(UserWarning):
         Config.from_dict({"correction": {"max_edit_distance": 3}})
+
+
+@pytest.mark.parametrize("threshold", [1, 2, 3, 4])
+def test_candidates_of_any_distance(spark, threshold):
+    import random
+
+    r = random.Random(threshold)
+    word = lambda: "".join(r.choice("abcd") for _ in range(r.randrange(1, 12)))
+    q = spark.createDataFrame(sorted({("en", word()) for _ in range(150)}), "lang string, word_q string")
+    d = spark.createDataFrame(sorted({("en", word()) for _ in range(150)}), "lang string, word_enc string")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(similarity.candidates(q, d, threshold)) == rows(similarity.candidates_by_length(q, d, threshold).distinct())
