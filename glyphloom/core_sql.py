@@ -125,7 +125,7 @@ SQL = {
     "learned_map": """WITH l AS (SELECT lang, lower(typo) AS typo, lower(correction) AS correction, learned_at, correction IS NULL AS gone FROM errors WHERE source = 'user' AND typo IS NOT NULL),
         m AS (SELECT * FROM l WHERE gone OR (length(typo) <= 50 AND length(correction) <= 50 AND typo <> correction)
               QUALIFY row_number() OVER (PARTITION BY lang, typo ORDER BY learned_at DESC NULLS LAST, gone DESC, correction) = 1)
-        SELECT lang, typo, correction, learned_at FROM m WHERE NOT gone QUALIFY row_number() OVER (PARTITION BY lang ORDER BY learned_at DESC NULLS LAST, typo) <= 500""",
+        SELECT lang, typo, correction, learned_at FROM m WHERE NOT gone""",
     "exact_lookup": f"WITH {_DICT}, {_TYPED} SELECT t.lang, t.word, d.freq FROM typed t LEFT JOIN dict d ON t.lang = d.lang AND {_ENC.format('t.word')} = d.word_enc",
     "oov_words": f"WITH {_DICT}, {_TYPED} SELECT DISTINCT lower(word) AS word FROM typed WHERE {_ENC.format('lower(word)')} NOT IN (SELECT word_enc FROM dict)",
     "valid_words": f"WITH {_DICT}, {_TYPED} SELECT DISTINCT lower(word) AS word FROM typed WHERE {_ENC.format('lower(word)')} IN (SELECT word_enc FROM dict)",
