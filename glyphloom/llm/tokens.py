@@ -62,7 +62,8 @@ def token_count(text: Column, path: str = VOCABULARY) -> Column:
         e = encoding(path)
         return pd.Series([None if t is None else encode_length(e, t) for t in s], dtype="Int64")
 
-    return count(text)
+    # so marked, a filter on the number is not pushed below it, which would encode every text once more
+    return count.asNondeterministic()(text)
 
 
 def document_sizes(docs: DataFrame, id_col: str, text: str, keep: list[str] | None = None, path: str = VOCABULARY) -> DataFrame:
