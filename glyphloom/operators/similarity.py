@@ -8,6 +8,10 @@ word one is untouched by two edits and stands in the query word at most two
 places off.  Both are complete; built-in ``levenshtein`` with a threshold
 verifies, and only survivors reach the Arrow UDF of the weighted distance.
 Larger distances are searched over more pieces in the same way.
+
+Every word gives many keys, which size estimates do not know of (they take an
+explode for one row), so these joins always sort and merge: a side that looks
+small enough to broadcast may not fit the driver.
 """
 
 from __future__ import annotations
@@ -39,11 +43,16 @@ def explode_deletions(words: DataFrame, word: str, out: str) -> DataFrame:
     return two.withColumn(out, cut).drop("_i", "_j")
 
 
+def _meet(q: DataFrame, d: DataFrame, keys: list[str]) -> DataFrame:
+    """Pairs of words that share a key, without a broadcast."""
+    return q.hint("merge").join(d.hint("merge"), keys).select("lang", "word_q", "word_enc")
+
+
 def _by_deletions(words: DataFrame, dictionary: DataFrame) -> DataFrame:
     v = lambda df, enc: explode_deletions(df, enc, "v").select("lang", enc, F.xxhash64("lang", "v").alias("v"))
     q = v(words.where(F.length("word_q") <= SHORT).select("lang", "word_q"), "word_q")
     d = v(dictionary.where(F.length("word_enc") <= SHORT + 2).select("lang", "word_enc"), "word_enc")
-    return q.join(d, ["lang", "v"]).select("lang", "word_q", "word_enc")
+    return _meet(q, d, ["lang", "v"])
 
 
 def _by_thirds(words: DataFrame, dictionary: DataFrame) -> DataFrame:
@@ -58,7 +67,7 @@ def _by_thirds(words: DataFrame, dictionary: DataFrame) -> DataFrame:
     spots = F.array(*[F.struct(F.lit(k).alias("k"), (c[k] + 1 + F.lit(s)).alias("at"), (c[k + 1] - c[k]).alias("len")) for k in range(3) for s in range(-2, 3)])
     q = q.select("lang", "word_q", "m", F.explode(F.filter(spots, lambda x: x["at"] >= 1)).alias("p"))
     q = q.select("lang", "word_q", "m", "p.k", F.col("word_q").substr(F.col("p.at"), F.col("p.len")).alias("piece"))
-    return q.join(d, ["lang", "m", "k", "piece"]).select("lang", "word_q", "word_enc")
+    return _meet(q, d, ["lang", "m", "k", "piece"])
 
 
 def _by_pieces(words: DataFrame, dictionary: DataFrame, threshold: int) -> DataFrame:
@@ -78,7 +87,7 @@ def _by_pieces(words: DataFrame, dictionary: DataFrame, threshold: int) -> DataF
     places = F.array(*[F.struct(F.lit(i).alias("k"), F.lit(s).alias("s"), (cut(m, i) + 1 + F.lit(s)).alias("at"), (cut(m, i + 1) - cut(m, i)).alias("len")) for i in range(k) for s in range(-threshold, threshold + 1)])
     q = q.select("lang", "word_q", "m", F.explode(F.filter(places, lambda x: (x["at"] >= 1) & (F.abs(x["s"]) + F.abs(off - x["s"]) <= threshold))).alias("p"))
     q = q.select("lang", "word_q", "m", "p.k", F.col("word_q").substr(F.col("p.at"), F.col("p.len")).alias("piece"))
-    return q.join(d, ["lang", "m", "k", "piece"]).select("lang", "word_q", "word_enc")
+    return _meet(q, d, ["lang", "m", "k", "piece"])
 
 
 def candidates(words: DataFrame, dictionary: DataFrame, threshold: int = 2) -> DataFrame:
