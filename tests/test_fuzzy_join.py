@@ -8,7 +8,7 @@ from glyphloom import core_queries
 from glyphloom.operators import correct, similarity
 from glyphloom.plans import keystrokes, pipeline
 
-QUERIES = ["fuzzy_candidates"]
+QUERIES = ["fuzzy_candidates", "correct_text"]
 
 
 def plan(df):
@@ -17,7 +17,7 @@ def plan(df):
 
 def key_joins(text):
     """(join, its keys) of the joins on keys of the fuzzy search."""
-    return re.findall(r"(\w+Join) \[lang#\d+, ((?:v|m)#\d+L?)", text)
+    return re.findall(r"(\w+Join) \[(?:[^\[\]]*, )?((?:v|m)#\d+L?)", text)
 
 
 @pytest.mark.parametrize("name", QUERIES)
