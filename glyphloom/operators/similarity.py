@@ -9,6 +9,11 @@ places off.  Both are complete; built-in ``levenshtein`` with a threshold
 verifies, and only survivors reach the Arrow UDF of the weighted distance.
 Larger distances are searched over more pieces in the same way.
 
+A weighted distance of one edit is less than plain distance 2: one edit, one
+swap of neighbours, or two letters replaced by neighbouring keys.  These meet
+over single deletions and over words spelt in groups of neighbouring keys,
+about a quarter of the keys.
+
 Every word gives many keys, which size estimates do not know of (they take an
 explode for one row), so these joins always sort and merge: a side that looks
 small enough to broadcast may not fit the driver.
@@ -16,7 +21,7 @@ small enough to broadcast may not fit the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphloom.functions.chars import encode_accents
@@ -24,6 +29,8 @@ from glyphloom.functions.distance import keyboard_distance_col, overlap_ok_col
 
 #: Longest word whose deletion neighbourhood is formed.
 SHORT = 24
+#: Keyboard columns.  Neighbouring keys stand in one column or in two next to each other.
+COLUMNS = ["qaz", "wsx", "edc", "rfv", "tgb", "yhn", "ujm", "ik", "ol", "p"]
 
 
 def explode_deletions(words: DataFrame, word: str, out: str) -> DataFrame:
@@ -108,6 +115,49 @@ def candidates_by_length(words: DataFrame, dictionary: DataFrame, threshold: int
     return q.join(d, ["lang", "m"]).where(F.levenshtein("word_q", "word_enc", threshold) >= 0).select("lang", "word_q", "word_enc")
 
 
+def _grouped(c: Column, shift: int) -> Column:
+    """Letters as groups of two keyboard columns; of the two shifts one has any two neighbouring keys in one group."""
+    group = {x: str((i + shift) // 2) for i, keys in enumerate(COLUMNS) for x in keys}
+    letters = "".join(group)
+    return F.translate(c, letters + letters.upper(), "".join(group.values()) * 2)
+
+
+def _by_one_edit(words: DataFrame, word: str) -> DataFrame:
+    """(lang, word, v): words at most one deletion each apart share a ``v``."""
+    n, j = F.length(word), F.col("_j")
+    one = words.select("lang", word, F.explode(F.sequence(F.lit(0), n)).alias("_j"))
+    v = F.when(j == 0, F.col(word)).otherwise(F.concat(F.col(word).substr(F.lit(1), j - 1), F.col(word).substr(j + 1, n)))
+    return one.select("lang", word, F.xxhash64("lang", v).alias("v"))
+
+
+def _by_near_keys(words: DataFrame, word: str) -> DataFrame:
+    """(lang, word, v): words that differ in two letters, each replaced by a neighbouring key, share a ``v``.
+
+    Either one grouping has both letters' keys together, or each has its own;
+    then some bit tells the two places apart, and one grouping is taken where
+    it is 0 and the other where it is 1.
+    """
+    n, b = F.length(word), F.col("_b")
+    bits = F.length(F.bin(n.cast("long") - 1))
+    # -1: one grouping for the whole word
+    w = words.where(n > 1).select("lang", word, F.explode(F.sequence(F.lit(-1), bits - 1)).alias("_b"))
+    w = w.select("lang", word, "_b", *[_grouped(F.col(word), s).alias(f"_g{s}") for s in (0, 1)])
+    # of the characters where the bit is 0 and where it is 1, in each grouping
+    pick = lambda g, bit: F.array_join(F.filter(F.split(F.col(g), ""), lambda x, i: (x != "") & (F.call_function("getbit", i, b) == bit)), "")
+    key = lambda at0, at1: F.xxhash64("lang", n, b, F.lit(at0), F.when(b < 0, F.col(f"_g{at0}")).otherwise(F.concat_ws("\x1f", pick(f"_g{at0}", 0), pick(f"_g{at1}", 1))))
+    return w.select("lang", word, F.explode(F.array(key(0, 1), key(1, 0))).alias("v"))
+
+
+def close_pairs(words: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """(lang, word, candidate): all pairs of weighted distance at most one edit, and others, within plain distance 2.
+
+    ``words``: (lang, word); ``dictionary``: (lang, candidate).
+    """
+    keys = lambda df, w: _by_one_edit(df, w).unionByName(_by_near_keys(df, w))
+    near = (F.abs(F.length("word") - F.length("candidate")) <= 1) & (F.levenshtein("word", "candidate", 2) >= 0)
+    return keys(words, "word").hint("merge").join(keys(dictionary, "candidate").hint("merge"), ["lang", "v"]).where(near).select("lang", "word", "candidate").distinct()
+
+
 def find_similar(words: DataFrame, dictionary: DataFrame, max_distance: int = 1, k: int = 3) -> DataFrame:
     """(lang, word, rank, candidate, distance, frequency): the ``k`` nearest dictionary words.
 
@@ -117,8 +167,13 @@ def find_similar(words: DataFrame, dictionary: DataFrame, max_distance: int = 1,
     """
     q = words.select("lang", "word", encode_accents(F.col("word")).alias("word_q")).where("lang is not null and word is not null")
     d = dictionary.select("lang", "word", "word_enc", "freq")
-    pairs = candidates(q.select("lang", "word_q").distinct(), d, 2 if max_distance <= 2 else max_distance)
-    named = pairs.join(q, ["lang", "word_q"]).join(d.select("lang", "word_enc", F.col("word").alias("candidate"), F.col("freq").alias("frequency")), ["lang", "word_enc"])
+    named_d = d.select("lang", "word_enc", F.col("word").alias("candidate"), F.col("freq").alias("frequency"))
+    if max_distance <= 1:
+        pairs = close_pairs(q.select("lang", "word"), named_d.select("lang", "candidate").distinct())
+        named = pairs.join(named_d, ["lang", "candidate"]).where(F.levenshtein(encode_accents(F.col("word")), "word_enc", 2) >= 0)
+    else:
+        pairs = candidates(q.select("lang", "word_q").distinct(), d, max_distance)
+        named = pairs.join(q, ["lang", "word_q"]).join(named_d, ["lang", "word_enc"])
     named = named.where(overlap_ok_col(F.col("word"), F.col("candidate")))
     scored = named.withColumn("distance", keyboard_distance_col(F.col("word"), F.col("candidate"), max_distance)).where(F.col("distance") <= 10 * max_distance)
     rank = F.row_number().over(Window.partitionBy("lang", "word").orderBy("distance", F.col("frequency").desc(), "word_enc"))
