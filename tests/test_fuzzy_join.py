@@ -10,7 +10,9 @@ from glyphloom.functions.distance import ADJACENT_KEYS, keyboard_distance, overl
 from glyphloom.operators import correct, similarity
 from glyphloom.plans import keystrokes, pipeline
 
-QUERIES = ["fuzzy_candidates", "correct_text", "correct_words"]
+QUERIES = [
+    "fuzzy_candidates", "correct_text", "correct_words", "pipeline_json",
+]
 
 
 def plan(df):
