@@ -11,7 +11,7 @@ from glyphloom.operators import correct, similarity
 from glyphloom.plans import keystrokes, pipeline
 
 QUERIES = [
-    "fuzzy_candidates", "correct_text", "correct_words", "pipeline_json", "fuzzy_topk", "edit_script", "suggestions", "web_results", "pipeline_results",
+    "fuzzy_candidates", "correct_text", "correct_words", "pipeline_json", "fuzzy_topk", "edit_script", "suggestions", "web_results", "pipeline_results", "pipeline_events",
 ]
 
 
