@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from glyphloom.config import DetectorConfig
 from glyphloom.functions.chars import encode_accents
-from glyphloom.skew import attach_by_key
+from glyphloom.session import cut_lineage
+from glyphloom.skew import attach_known
 from glyphloom.sources.resources import clean_stopwords
 
 #: A dictionary word that is no stopword adds one tenth.
@@ -32,37 +33,46 @@ def unit(langs: list[str]) -> int:
 
 
 def word_evidence(stopwords: DataFrame, dictionary: DataFrame, langs: list[str]) -> DataFrame:
-    """(word_enc, s_<lang>, d_<lang>, weight_of_rows): what each known word adds per language.
+    """(word_enc, s_<lang>, d_<lang>): what each known word adds per language.
 
     ``s_`` is the stopword weight, ``d_`` the dictionary hit, in parts of
     ``unit``; one row per word.
     """
     one = unit(langs)
-    s = clean_stopwords(stopwords).where(F.col("lang").isin(langs)).select("lang", encode_accents(F.col("word")).alias("word_enc"), F.lit(True).alias("stop"), F.lit(1 << 40).cast("long").alias("freq"))
-    d = dictionary.where(F.col("lang").isin(langs)).select("lang", "word_enc", F.lit(False).alias("stop"), "freq")
+    s = clean_stopwords(stopwords).where(F.col("lang").isin(langs)).select("lang", encode_accents(F.col("word")).alias("word_enc"), F.lit(True).alias("stop"))
+    d = dictionary.where(F.col("lang").isin(langs)).select("lang", "word_enc", F.lit(False).alias("stop"))
     both = s.unionByName(d)
     hits = [F.max(F.when((F.col("lang") == l) & F.col("stop"), 1).otherwise(0)).alias(f"s_{l}") for l in langs]
     in_dict = [F.max(F.when((F.col("lang") == l) & ~F.col("stop"), one // DICTIONARY_SHARE).otherwise(0)).alias(f"d_{l}") for l in langs]
-    e = both.groupBy("word_enc").agg(*hits, *in_dict, F.max("freq").alias("uses"))
+    e = both.groupBy("word_enc").agg(*hits, *in_dict)
     shared = sum((F.col(f"s_{l}") for l in langs), F.lit(0))
     weight = F.when(shared > 0, (F.lit(one) / shared).cast("long")).otherwise(0)  # divides evenly
     return e.select(
-        "word_enc", "uses",
+        "word_enc",
         *[(F.col(f"s_{l}") * weight).cast("long").alias(f"s_{l}") for l in langs],
         *[F.when(shared > 0, 0).otherwise(F.col(f"d_{l}")).cast("long").alias(f"d_{l}") for l in langs],
     )
 
 
-def score_windows(tokens: DataFrame, stopwords: DataFrame, dictionary: DataFrame, langs: list[str], config: DetectorConfig) -> DataFrame:
+def used_words(tokens: DataFrame) -> DataFrame:
+    """(word_enc, uses) of the non-empty tokens: what ``word_evidence`` is looked up by."""
+    return tokens.where("token <> ''").groupBy("token").agg(F.count(F.lit(1)).alias("n")).groupBy(encode_accents(F.lower("token")).alias("word_enc")).agg(F.sum("n").alias("uses"))
+
+
+def score_windows(tokens: DataFrame, stopwords: DataFrame, dictionary: DataFrame, langs: list[str], config: DetectorConfig, used: DataFrame | None = None) -> DataFrame:
     """(doc_id, pos, n, p_<lang>, c_<lang>): normalised scores and the current-language scores.
 
     Rows from the first position at which ``min_words_before_switch`` tokens
     are in the window.  ``c_`` is the un-normalised stopword mean that a switch
-    inside the hysteresis zone is compared with.
+    inside the hysteresis zone is compared with.  ``used``: the ``used_words`` of
+    ``tokens``, where they come cheaper.  Tokens that stand by document already
+    (``repartition``) are not shuffled while few known words are in use.
     """
     t = tokens.select("doc_id", "pos", F.when(F.col("token") != "", encode_accents(F.lower("token"))).alias("word_enc"))
     cols = [f"{k}_{l}" for k in "sd" for l in langs]
-    t = attach_by_key(t, word_evidence(stopwords, dictionary, langs), ["word_enc"], cols, "uses", ["doc_id", "pos"])
+    used = used_words(tokens) if used is None else used
+    known = cut_lineage(word_evidence(stopwords, dictionary, langs).hint("merge").join(used.hint("merge"), "word_enc"))
+    t = attach_known(t, known, ["word_enc"], cols, "uses", ["doc_id", "pos"])
     w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(-(config.window_size - 1), 0)
     summed = t.select(
         "doc_id", "pos", F.count(F.lit(1)).over(w).alias("n"),
@@ -94,7 +104,7 @@ def _scores(langs: list[str]) -> Column:
 
 
 def detect(
-    tokens: DataFrame, stopwords: DataFrame, dictionary: DataFrame, langs: list[str], initial: str, config: DetectorConfig = DetectorConfig()
+    tokens: DataFrame, stopwords: DataFrame, dictionary: DataFrame, langs: list[str], initial: str, config: DetectorConfig = DetectorConfig(), used: DataFrame | None = None
 ) -> DataFrame:
     """(doc_id, pos, language, confidence, all_scores): a row where the language changes.
 
@@ -103,7 +113,7 @@ def detect(
     langs = sorted(langs)
     if not langs:
         return tokens.select("doc_id", "pos", F.lit(None).cast("string").alias("language"), F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("map<string,double>").alias("all_scores")).where("false")
-    s = score_windows(tokens, stopwords, dictionary, langs, config)
+    s = score_windows(tokens, stopwords, dictionary, langs, config, used)
     top = F.greatest(*[F.col(f"p_{l}") for l in langs]) if len(langs) > 1 else F.col(f"p_{langs[0]}")
     floor = config.confidence_threshold - config.hysteresis_zone
     s = s.withColumn("top", top).where(F.col("top") >= floor)  # nothing can change elsewhere

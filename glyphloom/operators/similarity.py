@@ -16,7 +16,9 @@ about a quarter of the keys.
 
 Every word gives many keys, which size estimates do not know of (they take an
 explode for one row), so these joins always sort and merge: a side that looks
-small enough to broadcast may not fit the driver.
+small enough to broadcast may not fit the driver.  The dictionary is merged as
+well: just below the broadcast threshold its hash table takes ten times its
+file in the driver, and a query joins it several times at once.
 """
 
 from __future__ import annotations
@@ -170,10 +172,10 @@ def find_similar(words: DataFrame, dictionary: DataFrame, max_distance: int = 1,
     named_d = d.select("lang", "word_enc", F.col("word").alias("candidate"), F.col("freq").alias("frequency"))
     if max_distance <= 1:
         pairs = close_pairs(q.select("lang", "word"), named_d.select("lang", "candidate").distinct())
-        named = pairs.join(named_d, ["lang", "candidate"]).where(F.levenshtein(encode_accents(F.col("word")), "word_enc", 2) >= 0)
+        named = pairs.join(named_d.hint("merge"), ["lang", "candidate"]).where(F.levenshtein(encode_accents(F.col("word")), "word_enc", 2) >= 0)
     else:
         pairs = candidates(q.select("lang", "word_q").distinct(), d, max_distance)
-        named = pairs.join(q, ["lang", "word_q"]).join(named_d, ["lang", "word_enc"])
+        named = pairs.join(q.hint("merge"), ["lang", "word_q"]).join(named_d.hint("merge"), ["lang", "word_enc"])
     named = named.where(overlap_ok_col(F.col("word"), F.col("candidate")))
     scored = named.withColumn("distance", keyboard_distance_col(F.col("word"), F.col("candidate"), max_distance)).where(F.col("distance") <= 10 * max_distance)
     rank = F.row_number().over(Window.partitionBy("lang", "word").orderBy("distance", F.col("frequency").desc(), "word_enc"))

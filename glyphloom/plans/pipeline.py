@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphloom.config import Config
-from glyphloom.operators.correct import correct_tokens, suggestions
-from glyphloom.operators.detect import detect
+from glyphloom.operators.correct import correct_tokens, distinct_words, suggestions
+from glyphloom.operators.detect import detect, used_words
 from glyphloom.operators.tokenize import tokenize, tokenize_in_segments
 from glyphloom.session import cut_lineage
+from glyphloom.skew import attach_known
 from glyphloom.sources.resources import Resources
 
 
@@ -22,20 +23,24 @@ def process_texts(docs: DataFrame, resources: Resources, initial: str, id_col: s
     """
     p = config.pipeline
     if p.detect_language:
-        ended = tokenize(docs, id_col, text, p.max_token_chars).where(~F.col("pending"))
-        found = detect(ended, resources.stopwords, resources.dictionary, resources.languages(), initial, config.detector)
+        ended = lambda d: tokenize(d.select(id_col, text), id_col, text, p.max_token_chars).where(~F.col("pending"))
+        by_doc = docs.repartition(id_col)  # texts are moved, not their tokens
+        found = detect(ended(by_doc), resources.stopwords, resources.dictionary, resources.languages(), initial, config.detector, used_words(ended(docs)))
         change = F.struct("pos", F.col("language").alias("code"), "confidence")
         per_doc = found.groupBy(F.col("doc_id").alias("_doc")).agg(F.array_sort(F.collect_list(change)).alias("_changes"))
         per_doc = cut_lineage(per_doc)  # few rows, read by several jobs; tokens are cheaper to cut again than to keep
-        docs = docs.join(per_doc, F.col(id_col) == F.col("_doc"), "left")
+        docs = docs.join(per_doc.hint("merge"), F.col(id_col) == F.col("_doc"), "left")
     else:
         docs = docs.withColumn("_changes", F.lit(None).cast("array<struct<pos:int,code:string,confidence:double>>"))
     located = tokenize_in_segments(docs, id_col, text, "_changes", initial, p.language_mode == "fixed", p.max_token_chars)
-    done = correct_tokens(located, resources, config.correction)
+    words = distinct_words(located, F.max("pending").alias("pending"), F.sum(F.col("pending").cast("long")).alias("ends"))
+    done = correct_tokens(located, resources, config.correction, words=words)
     if remainder == "suggest":
-        last = done.where("pending").select("lang", F.col("token").alias("word")).distinct()
-        first = suggestions(last, resources, config.correction).where("rank = 1").select("lang", F.col("word").alias("token"), F.col("candidate").alias("_s"))
-        done = done.join(first, ["lang", "token"], "left").withColumn("corrected", F.when(F.col("pending"), F.col("_s")).otherwise(F.col("corrected")))
+        last = words.where("pending").select("lang", "word", "ends")
+        first = suggestions(last, resources, config.correction).where("rank = 1").join(last.hint("merge"), ["lang", "word"])
+        first = cut_lineage(first.select("lang", F.col("word").alias("_last"), F.col("candidate").alias("_s"), "ends"))
+        done = attach_known(done.withColumn("_last", F.when(F.col("pending"), F.col("token"))), first, ["lang", "_last"], ["_s"], "ends", ["doc_id", "pos"])
+        done = done.withColumn("corrected", F.when(F.col("pending"), F.col("_s")).otherwise(F.col("corrected")))
     if not p.auto_correct:
         keep = F.col("pending") if p.strict_remainder else F.lit(False)
         done = done.withColumn("corrected", F.when(keep, F.col("corrected"))).withColumn("source", F.when(keep, F.col("source")).otherwise("None"))
