@@ -117,6 +117,12 @@ def detect(
     top = F.greatest(*[F.col(f"p_{l}") for l in langs]) if len(langs) > 1 else F.col(f"p_{langs[0]}")
     floor = config.confidence_threshold - config.hysteresis_zone
     s = s.withColumn("top", top).where(F.col("top") >= floor)  # nothing can change elsewhere
+    # after a sure step with one best language that is the current one, so the steps that repeat it change nothing
+    many = sum((F.when(F.col(f"p_{l}") == F.col("top"), 1).otherwise(0) for l in langs), F.lit(0))
+    only = F.when(many == 1, F.coalesce(*[F.when(F.col(f"p_{l}") == F.col("top"), F.lit(i)) for i, l in enumerate(langs)]))
+    s = s.withColumn("only", only)
+    settled = F.lag(F.when(F.col("top") >= config.confidence_threshold, F.col("only"))).over(Window.partitionBy("doc_id").orderBy("pos"))
+    s = s.withColumn("settled", settled).where("settled is null or only is null or settled <> only")
     best = F.filter(F.array(*[F.when(F.col(f"p_{l}") == F.col("top"), F.lit(l)) for l in langs]), lambda x: x.isNotNull())
     current = F.map_from_arrays(F.array(*[F.lit(l) for l in langs]), F.array(*[F.col(f"c_{l}") for l in langs]))
     step = F.struct("pos", "top", best.alias("best"), current.alias("current"), _scores(langs).alias("scores"))

@@ -24,7 +24,8 @@ def process_texts(docs: DataFrame, resources: Resources, initial: str, id_col: s
     p = config.pipeline
     if p.detect_language:
         ended = lambda d: tokenize(d.select(id_col, text), id_col, text, p.max_token_chars).where(~F.col("pending"))
-        by_doc = docs.repartition(id_col)  # texts are moved, not their tokens
+        # texts are moved, not their tokens; the number of parts is given, else they are merged by the size of the texts
+        by_doc = docs.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), id_col)
         found = detect(ended(by_doc), resources.stopwords, resources.dictionary, resources.languages(), initial, config.detector, used_words(ended(docs)))
         change = F.struct("pos", F.col("language").alias("code"), "confidence")
         per_doc = found.groupBy(F.col("doc_id").alias("_doc")).agg(F.array_sort(F.collect_list(change)).alias("_changes"))
