@@ -30,7 +30,7 @@ def known_words(words: DataFrame, dictionary: DataFrame, word: str = "word") ->
 def unknown_words(words: DataFrame, dictionary: DataFrame, word: str = "word") -> DataFrame:
     """Rows of ``words`` that no language's dictionary has."""
     d = dictionary.select(F.col("word_enc").alias("_e")).distinct()
-    return words.join(d, encode_accents(F.col(word)) == F.col("_e"), "left_anti")
+    return words.join(d.hint("merge"), encode_accents(F.col(word)) == F.col("_e"), "left_anti")
 
 
 def dictionary_size(dictionary: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from glyphloom.operators import correct, detect
 from glyphloom.plans import pipeline
 from glyphloom.skew import attach_known
 
-QUERIES = ["correct_text", "pipeline_json"]
+QUERIES = ["correct_text", "pipeline_json", "fuzzy_topk"]
 
 
 @pytest.mark.parametrize("name", QUERIES)
