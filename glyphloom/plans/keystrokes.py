@@ -36,7 +36,7 @@ def _running(events: DataFrame, device: str, order: list[str], piece: Column, ma
     totals = e.groupBy(device, "_piece").agg(*[F.sum(c.cast("long")).alias(n) for n, c in marks.items()])
     before = Window.partitionBy(device).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     carry = totals.select(F.col(device).alias("_d"), F.col("_piece").alias("_p"), *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_c_{n}") for n in marks])
-    joined = local.join(carry, (F.col(device) == F.col("_d")) & (F.col("_piece") == F.col("_p")))
+    joined = local.join(carry.hint("merge"), (F.col(device) == F.col("_d")) & (F.col("_piece") == F.col("_p")))
     return joined.select(*events.columns, *[(F.col(f"_l_{n}") + F.col(f"_c_{n}")).alias(n) for n in marks])
 
 
@@ -56,7 +56,7 @@ def focus_sessions(events: DataFrame, device: str, window: str, at: str, tie: st
     ends = e.groupBy(device, "_piece").agg(F.min(F.struct("_us", tie, window))[window].alias("_first"), F.max(F.struct("_us", tie, window))[window].alias("_last"))
     wd = Window.partitionBy(device).orderBy("_piece")
     heads = ends.select(F.col(device).alias("_d"), F.col("_piece").alias("_p"), (F.lag("_last").over(wd) != F.col("_first")).alias("_moved"))
-    inner = inner.join(heads, (F.col(device) == F.col("_d")) & (F.col("_piece") == F.col("_p"))).drop("_d", "_p")
+    inner = inner.join(heads.hint("merge"), (F.col(device) == F.col("_d")) & (F.col("_piece") == F.col("_p"))).drop("_d", "_p")
     changed = F.coalesce(F.when(F.col("_before").isNull(), F.col("_moved")).otherwise(F.col("_before") != F.col(window)), F.lit(False))
     flagged = inner.withColumn("_changed", changed).drop("_piece", "_before", "_moved")
     out = _running(flagged, device, ["_us", tie], piece, {"session": F.col("_changed").cast("int")})
@@ -73,7 +73,7 @@ def _with_moves(e: DataFrame, piece: int) -> DataFrame:
     ends = e.groupBy("device", "_piece").agg(F.max(F.struct("ord", "win")).alias("last"))
     wd = Window.partitionBy("device").orderBy("_piece")
     heads = ends.select(F.col("device").alias("_d"), F.col("_piece").alias("_p"), F.lag("last").over(wd).alias("_last"))
-    inner = e.withColumn("_lag", F.lag(F.struct("ord", "win")).over(w)).join(heads, (F.col("device") == F.col("_d")) & (F.col("_piece") == F.col("_p")))
+    inner = e.withColumn("_lag", F.lag(F.struct("ord", "win")).over(w)).join(heads.hint("merge"), (F.col("device") == F.col("_d")) & (F.col("_piece") == F.col("_p")))
     prior = F.coalesce("_lag", "_last")
     moved = F.coalesce((prior["win"] != 0) & (prior["win"] != F.col("win")), F.lit(False))
     return inner.select(*[c for c in e.columns if c != "_piece"], moved.alias("moved"), prior["ord"].alias("before"))
@@ -134,7 +134,7 @@ def typed_tokens(
     out = g.where("ends").select("device", "token_no", token.alias("token"), "first_order", "last_order", F.col("by.c").alias("delimiter"), F.col("by.applied").alias("applied"))
     if window:
         left = e.where("moved").select("device", F.col("before").alias("last_order"), F.lit(True).alias("left"))  # one row per device and order
-        out = out.join(left, ["device", "last_order"], "left").withColumn("left", F.coalesce("left", F.lit(False)))
+        out = out.join(left.hint("merge"), ["device", "last_order"], "left").withColumn("left", F.coalesce("left", F.lit(False)))
         return out.select(F.col("device").alias(device), *[c for c in out.columns if c not in ("device", "last_order", "left")][:3], "last_order", "delimiter", "applied", "left")
     return out.withColumnRenamed("device", device)
 
