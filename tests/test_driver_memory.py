@@ -9,7 +9,7 @@ from glyphloom.operators import correct, detect
 from glyphloom.plans import pipeline
 from glyphloom.skew import attach_known
 
-QUERIES = ["correct_text", "pipeline_json", "fuzzy_topk", "edit_script", "suggestions", "web_results", "pipeline_events"]
+QUERIES = ["correct_text", "pipeline_json", "fuzzy_topk", "edit_script", "suggestions", "web_results", "pipeline_events", "pipeline_results"]
 
 
 @pytest.mark.parametrize("name", QUERIES)
