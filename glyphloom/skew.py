@@ -23,6 +23,7 @@ def attach_by_key(
     weight: str,
     spread: Sequence[str],
     heavy_keys: int = HEAVY_KEYS,
+    merge: bool = False,
 ) -> DataFrame:
     """Left join ``rows`` to ``groups`` (one row per key), safe for hot keys.
 
@@ -32,7 +33,8 @@ def attach_by_key(
     join under a key made from ``spread`` (columns that tell rows apart), so
     they scatter over all partitions and match nothing there.  All other keys
     go through the ordinary shuffled join.  Every row comes out exactly once;
-    rows whose key is null or unknown get null payload columns.
+    rows whose key is null or unknown get null payload columns.  ``merge``: the
+    other keys are never broadcast, even where Spark takes them for small.
     """
     keys, payload = list(keys), list(payload)
     heavy = (
@@ -57,7 +59,7 @@ def attach_by_key(
     cond = F.col("_salt") == F.col("_lk_salt")
     for k in keys:
         cond = cond & (F.col(k) == F.col(f"_lk_{k}"))
-    two = one.join(light, cond, "left")
+    two = one.join(light.hint("merge") if merge else light, cond, "left")
     return two.select(
         *[F.col(c) for c in rows.columns],
         *[F.coalesce(F.col(f"_hp_{p}"), F.col(f"_lp_{p}")).alias(p) for p in payload],
@@ -77,10 +79,11 @@ def attach_known(
 
     ``groups`` should have its lineage cut (it is counted first) and only keys
     that occur.  Up to ``small`` of them are broadcast, more take the way of
-    ``attach_by_key``; the rows that come out are the same.
+    ``attach_by_key``, where they are merged: just below Spark's threshold they
+    would be broadcast after all.  The rows that come out are the same.
     """
     if groups.count() > small:
-        return attach_by_key(rows, groups, keys, payload, weight, spread)
+        return attach_by_key(rows, groups, keys, payload, weight, spread, merge=True)
     known = groups.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[F.col(p).alias(f"_p_{p}") for p in payload])
     cond = F.lit(True)
     for k in keys:

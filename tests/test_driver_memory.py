@@ -1,6 +1,7 @@
 """Queries over the dictionary broadcast no table that grows, and do not move tokens to look words up."""
 
 import re
+from functools import partial
 
 import pytest
 
@@ -41,3 +42,19 @@ def test_texts_of_one_id_are_put_together(spark):
     docs = spark.createDataFrame([(1, "wrold wrold."), (2, ""), (3, None), (None, "Wrold!"), (4, "hello"), (4, " ")], "doc_id long, text string")
     out = correct.correct_text(docs, demo_resources(spark), "en", "doc_id", "text").collect()
     assert len(out) == 4 and {r.doc_id: r.corrected_text for r in out} == {1: "world world.", 2: "", None: "World!", 4: " hello"}
+
+
+#: Queries that attach words to tokens.
+BEYOND = ["web_results"]
+
+
+@pytest.mark.parametrize("name", BEYOND)
+def test_words_beyond_the_bound_are_merged(spark, sf, monkeypatch, name):
+    plans = []
+    for m in (correct, detect, pipeline):
+        monkeypatch.setattr(m, "cut_lineage", lambda df, cut=m.cut_lineage: plans.append(df) or cut(df))
+        monkeypatch.setattr(m, "attach_known", partial(attach_known, small=0))
+    plans.append(core_queries.QUERIES[name](spark, sf))
+    joins = re.findall(r"\w+Join .*", "".join(df._jdf.queryExecution().executedPlan().toString() for df in plans).replace(" [", " "))
+    assert [x for x in joins if re.match(r"SortMergeJoin.* _lk_", x)]
+    assert not [x for x in joins if re.match(r"Broadcast.* _lk_", x)]
