@@ -45,7 +45,7 @@ def test_texts_of_one_id_are_put_together(spark):
 
 
 #: Queries that attach words to tokens.
-BEYOND = ["web_results", "pipeline_results"]
+BEYOND = ["web_results", "pipeline_results", "pipeline_events"]
 
 
 @pytest.mark.parametrize("name", BEYOND)
